@@ -63,3 +63,29 @@ SELECT page_id, host, path, rule, coalesce(own, inherited, 'allow') AS verdict,
   CASE WHEN own IS NULL THEN inherited END AS inherited
 FROM ruled LEFT JOIN decided USING (node)
 """
+
+_HOLES = ", ".join(
+    "[" + ", ".join([f"'{i}'", "lead"] + [f"s{j}" for j in range(5) if j != i]) + "]" for i in range(5)
+)
+
+LINE_TEMPLATES = rf"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+words AS (
+  SELECT doc_id, text, pos, string_split_regex(regexp_replace(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'),
+    '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g'), '[ \t\x0B\f\r]+') AS t FROM lines),
+cut AS (
+  SELECT doc_id, text, pos, len(t) AS n, array_to_string(t[1:3], ' ') || '|' || len(t) AS lead,
+    {", ".join(f"array_to_string(t[4 + {i} * greatest(len(t) - 3, 0) // 5 : 3 + {i + 1} * greatest(len(t) - 3, 0) // 5], ' ') AS s{i}" for i in range(5))}
+  FROM words WHERE len(t) >= 3),
+keyed AS (
+  SELECT doc_id, text, pos, unnest(list_concat([['full', lead, s0, s1, s2, s3, s4]], CASE WHEN n >= 8 THEN [{_HOLES}] ELSE [] END)) AS k FROM cut),
+firsts AS (SELECT k, min(doc_id) AS least FROM keyed GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, text, pos FROM keyed JOIN firsts USING (k) WHERE doc_id > least),
+marks AS (SELECT doc_id, text, list(pos) AS gone FROM gone GROUP BY ALL)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+  coalesce(len(gone), 0) AS n_dropped,
+  CASE WHEN gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text
+FROM documents d LEFT JOIN marks m ON d.doc_id = m.doc_id AND d.text = m.text
+"""

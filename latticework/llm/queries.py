@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import decontaminate, fertility, lang_id, oracle, packing, url_filter
+from latticework.llm import decontaminate, fertility, lang_id, line_dedup, oracle, packing, url_filter
 from latticework.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_fertility": op6_fertility,
+    "op7_line_templates": op7_line_templates,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE: dict[str, str] = {"op10_url_filter": oracle.URL_FILTER}
+ORACLE: dict[str, str] = {"op7_line_templates": oracle.LINE_TEMPLATES, "op10_url_filter": oracle.URL_FILTER}
