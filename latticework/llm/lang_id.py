@@ -144,25 +144,24 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600) -> Model | None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` but the text, then ``lang_pred`` and ``score``."""
+    """All columns of ``docs``, then ``lang_pred`` and ``score`` of its text."""
 
-    def apply(batches):
-        for pdf in batches:
-            ok = np.flatnonzero(pdf["text"].map(has_letter).to_numpy(bool)) if model is not None else np.empty(0, int)
-            lang, score = np.full(len(pdf), "und", object), np.zeros(len(pdf))
-            text = pdf["text"].to_numpy(object)
-            for part in np.array_split(ok, max(1, -(-len(ok) // 256))):
-                if len(part):
-                    lang[part], score[part] = model.predict(np.stack([features(text[i]) for i in part]))
-            yield pdf.drop(columns="text").assign(lang_pred=lang, score=score)
+    @F.pandas_udf("lang_pred string, score double")
+    def apply(text: pd.Series) -> pd.DataFrame:
+        ok = np.flatnonzero(text.map(has_letter).to_numpy(bool)) if model is not None else np.empty(0, int)
+        lang, score = np.full(len(text), "und", object), np.zeros(len(text))
+        values = text.to_numpy(object)
+        for part in np.array_split(ok, max(1, -(-len(ok) // 256))):
+            if len(part):
+                lang[part], score[part] = model.predict(np.stack([features(values[i]) for i in part]))
+        return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    rest = docs.drop("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return docs.select(*rest.columns, "text").mapInPandas(apply, f"{fields}, lang_pred string, score double")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, apply("text").alias("_guess")).select(*kept, "_guess.lang_pred", "_guess.score")
 
 
 def identify(docs: DataFrame, per_language: int = 600, parts: int = 4, held: int = 2) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``, learning from rows outside the held-out fold."""
-    held_out = fold(F.col("doc_id"), parts) == held
-    model = fit(docs.select("doc_id", "text", "lang"), F.coalesce(~held_out, F.lit(True)), per_language)
-    return predict(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)
+    held_out = F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False))
+    docs = docs.select("doc_id", held_out.alias("held_out"), "text", "lang")
+    return predict(docs, fit(docs, ~F.col("held_out"), per_language)).select("doc_id", "held_out", "lang_pred", "score")

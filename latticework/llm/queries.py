@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import decontaminate, fertility, lang_id, line_dedup, oracle, packing, url_filter
+from latticework.llm import decontaminate, fertility, lang_id, line_dedup, ngram_join, oracle, packing, url_filter
 from latticework.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_fertility": op6_fertility,
     "op7_line_templates": op7_line_templates,
+    "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE: dict[str, str] = {"op7_line_templates": oracle.LINE_TEMPLATES, "op10_url_filter": oracle.URL_FILTER}

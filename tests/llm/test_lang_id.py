@@ -40,7 +40,7 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "words here", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in identify(docs).select("lang_pred", "score").collect()] == [("und", 0.0)]
     assert identify(docs.limit(0)).count() == 0
-    assert predict(docs, None).columns == ["doc_id", "lang", "lang_pred", "score"]
+    assert predict(docs, None).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
     one = spark.createDataFrame([(i, "some words", "en") for i in range(20)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in identify(one).collect()} == {"en"}
     assert identify(one.withColumn("lang", F.lit(None).cast("string"))).count() == 20
