@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,3 +48,8 @@ class Scratch:
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def release(self) -> None:
+        """Lets the cluster delete shuffle files that only finished tables needed, rather than at some later collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
