@@ -35,6 +35,7 @@ from latticework.storage import Scratch
 CACHE = 400_000
 #: A sampled document share and the sample count from which a shingle is frequent; at most so many are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 3, 1_000_000
+BROADCAST_IDS = 1_000_000
 
 
 class Shingler:
@@ -112,7 +113,10 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(fp, set)`` of the classes ``wanted(fp, rep)``, computed again from their first document."""
+    """``(fp, set)`` of the classes ``wanted(fp, rep)``, computed again from their first document.
+
+    Ids are broadcast up to ``BROADCAST_IDS`` of them; beyond it the texts are shuffled to them.
+    """
 
     def run(batches):
         of = Shingler(words)
@@ -120,8 +124,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             sets = {_fingerprint(s): s for s in map(of, pdf["text"]) if len(s)}
             yield pd.DataFrame({"fp": np.array(list(sets), np.int64), "set": [s.tobytes() for s in sets.values()]})
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    again = texts.mapInPandas(run, "fp long, set binary").join(wanted.select("fp"), "fp", "left_semi")
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    again = docs.join(ids, "doc_id", "left_semi").select("text").mapInPandas(run, "fp long, set binary")
     return again.groupBy("fp").agg(F.first("set").alias("set"))
 
 
@@ -168,6 +173,7 @@ class Groups:
         shared = spread.groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("token")
         counts = spread.join(shared, "token").groupBy("fp").agg(F.count("*").alias("c"))
         alive = put(classes.join(counts, "fp").where("c >= 1 + (n * 3) div 100").select("fp", "n", "rep", "prefix"))
+        self.scratch.release()
         sets = put(_sets(self.docs, alive.select("fp", "rep"), self.words))
 
         tokens = alive.select("fp", "n", F.explode("prefix").alias("token"))
@@ -178,7 +184,7 @@ class Groups:
         distance = measured.select(F.col("x").alias("fp"), F.col("y").alias("pivot"), (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("d"))
         regions = put(members.join(distance, ["fp", "pivot"], "left").select("token", "fp", "n", F.coalesce("d", F.lit(0.0)).alias("d")))
         drop(members)
-
+        self.scratch.release()
         tested = measured.select("x", "y")
         for turn in range(self.pivot_rounds + 1):
             roots = self._components(links)
@@ -218,16 +224,19 @@ class Groups:
         """``(doc_id, n_shingles, component_id)``, a row per row of the input."""
         put = self.scratch.put
         rows = put(_prefixes(self.docs, self.words, self.percent, _frequent(self.docs, self.words)))
+        slim = put(rows.drop("prefix"))
         some = rows.where("n > 0")
         classes = put(some.groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
+        self.scratch.drop(rows)
+        self.scratch.release()
         links = self.links(classes.where("rep is not null"))
         roots = self._components(links).withColumnRenamed("node", "fp")
         named = put(roots.join(classes.select("fp", "rep"), "fp"))
         least = put(named.groupBy("root").agg(F.min("rep").alias("component_id")))
         linked = put(named.join(least, "root").select("fp", "component_id"))
         known = put(classes.select("fp", "rep").join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
-        full = some.select("doc_id", "n", "fp").join(known, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        full = slim.where("n > 0").join(known, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        none = slim.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return full.unionByName(none)
 
 
