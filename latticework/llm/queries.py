@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import decontaminate, fertility, lang_id, line_dedup, ngram_join, oracle, packing, suffix_dedup, url_filter
+from latticework.llm import brown, decontaminate, fertility, lang_id, line_dedup, ngram_join, oracle, packing, suffix_dedup, url_filter
 from latticework.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
+    "op2_brown_lm": op2_brown_lm,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
