@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import brown, decontaminate, fertility, lang_id, line_dedup, ngram_join, oracle, packing, suffix_dedup, url_filter
+from latticework.llm import brown, decontaminate, fertility, lang_id, line_dedup, ngram_join, oracle, packing, pii, suffix_dedup, url_filter
 from latticework.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_fertility": op6_fertility,
     "op7_line_templates": op7_line_templates,
+    "op8_personal_data": op8_personal_data,
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
 }
