@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from latticework.storage import Scratch
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges go from a leaf to a root, one a leaf: nothing would move any more."""
+    row = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("leaves")).first()
+    return row["n"] == row["leaves"] and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,16 +39,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    seen = _signature(now)
-    if seen[0]:
-        for _ in range(max_rounds):
-            new = scratch.put(_small_star(_large_star(now)))
-            scratch.drop(now)
-            now, old = new, seen
-            seen = _signature(now)
-            if seen == old:
-                break
-        else:
-            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    for _ in range(max_rounds):
+        if _settled(now):
+            break
+        new = scratch.put(_small_star(_large_star(now)))
+        scratch.drop(now)
+        now = new
+    else:
+        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
