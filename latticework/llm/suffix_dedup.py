@@ -248,8 +248,9 @@ def repeated_ranges(docs: DataFrame, length: int = 200, most: int = 2000) -> Dat
     n = anchors.count()
     wanted = mixed = None
     if n <= BITMAP_ANCHORS:
-        small = np.array(anchors.select("small", F.col("a") < F.col("b")).collect(), np.int64).reshape(-1, 2)
-        wanted, mixed = np.unique(small[:, 0]), np.unique(small[small[:, 1] == 1, 0])
+        found = anchors.select(F.col("small"), (F.col("a") < F.col("b")).alias("mixed")).toArrow()
+        small, several = found["small"].to_numpy(), found["mixed"].to_numpy()
+        wanted, mixed = np.unique(small), np.unique(small[several])
     drop(anchors)
     members = put(_members(docs, length, wanted, mixed))
     keys = ["anchor", "cls"]
