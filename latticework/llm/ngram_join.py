@@ -2,17 +2,19 @@
 
 1. Documents with equal sets are one class. Every class orders its shingles in one global order (those frequent in a
    sample last, then by hash) and keeps a prefix, long enough that linked classes share at least ``need`` shingles of
-   it. Classes with fewer shared prefix shingles than that cannot link and are done.
-2. Pivots: each prefix shingle elects one of its classes, and its other classes belong to that pivot's region. The
-   exact distance of every class to the pivots of its regions gives links, and the links components.
-3. Regions whose classes all are in one component are done. In the others new pivots are elected and the region is
-   joined again, recursively, up to ``pivot_rounds`` times: by the triangle inequality a class needs to meet a pivot only if their distances to the
-   region's first pivot differ by at most the threshold, which replicates a class to every window it may reach. Once
-   few pairs are left, or after the last round, those that no pivot has settled are met directly, again within windows and only with ``need``
-   shared shingles.
-
-No pair of one component is looked at again, so large groups of copies cost a few distances a member, not all pairs;
-yet links between components are never missed. Shingles are 64-bit hashes.
+   it. Classes with fewer shared prefix shingles than that cannot link and are done. Shingles of at most ``FEW``
+   classes are regions small enough to be joined as they are, by the number of shingles that two classes share.
+2. Pivots: each other prefix shingle elects one of its classes, and the distance of its other classes to that pivot is
+   measured exactly. Those within ``NEAR`` make up the pivot's region. By the triangle inequality a class beyond
+   can only link with classes farther than ``NEAR`` less the threshold; these boundary classes are replicated to the
+   remainder of the shingle, which elects a pivot again, recursively, ``rounds`` times.
+3. A region is joined exactly from its members' differences to the pivot. Members lie in shells one threshold wide
+   by their distance; only members of one shell or of neighbouring ones can link, and the innermost, who all link with
+   the pivot, need not meet each other. Shells are cut into blocks of bounded size, and each pair of blocks is one
+   product of bit matrices that returns a spanning forest of its links, not its pairs.
+4. What no region has taken in meets by shared prefix shingles, ``need`` of them at least.
+
+Shingles are 64-bit hashes.
 
 Defined cases: null text, or one without words, has 0 shingles, links with nothing and is its own component; fewer
 than ``words`` words make one shingle of the whole sequence; rows that share an id are separate texts; a null id
@@ -36,6 +38,10 @@ CACHE = 400_000
 #: A sampled document share and the sample count from which a shingle is frequent; at most so many are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 3, 1_000_000
 BROADCAST_IDS = 1_000_000
+#: Jaccard distance up to which a class belongs to a pivot's region.
+NEAR = 0.5
+#: Classes that share a shingle up to which they meet directly, without pivots.
+FEW = 8
 
 
 class Shingler:
@@ -130,95 +136,180 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return again.groupBy("fp").agg(F.first("set").alias("set"))
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(x, y)`` with sizes and the size of the intersection."""
+def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(x, y, nx, ny, both)`` and, where x is near y, what x has of y as bits and what it has besides."""
 
     def run(batches):
         for pdf in batches:
-            nx, ny, both = [], [], []
+            nx, ny, both, bits, extra = [], [], [], [], []
             for a, b in zip(pdf["sx"], pdf["sy"]):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                shared = b[at] == a
+                n = int(shared.sum())
+                near = n >= (1 - NEAR) * (len(a) + len(b) - n)
+                if near:
+                    has = np.zeros(len(b), bool)
+                    has[at[shared]] = True
                 nx.append(len(a))
                 ny.append(len(b))
-                both.append(len(np.intersect1d(a, b, assume_unique=True)))
-            yield pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "nx": nx, "ny": ny, "both": both})
+                both.append(n)
+                bits.append(np.packbits(has).tobytes() if near else None)
+                extra.append(a[~shared].tobytes() if near else None)
+            yield pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "nx": nx, "ny": ny, "both": both, "bits": bits, "extra": extra})
 
     left = sets.select(F.col("fp").alias("x"), F.col("set").alias("sx"))
     right = sets.select(F.col("fp").alias("y"), F.col("set").alias("sy"))
-    return pairs.select("x", "y").join(left, "x").join(right, "y").mapInPandas(run, "x long, y long, nx long, ny long, both long")
+    schema = "x long, y long, nx long, ny long, both long, bits binary, extra binary"
+    return pairs.select("x", "y").join(left, "x").join(right, "y").mapInPandas(run, schema)
+
+
+def _forest(rows: np.ndarray, columns: np.ndarray) -> list[int]:
+    """Positions of pairs that already connect all that the pairs connect."""
+    root: dict[int, int] = {}
+    out = []
+    for k, (a, b) in enumerate(zip(rows.tolist(), columns.tolist())):
+        while (up := root.get(a, a)) != a:
+            root[a] = root.get(up, up)
+            a = up
+        while (up := root.get(b, b)) != b:
+            root[b] = root.get(up, up)
+            b = up
+        if a != b:
+            root[a] = b
+            out.append(k)
+    return out
+
+
+def _join_blocks(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links between the blocks ``i`` and ``j`` (or within one) of each region; whole pairs of blocks come together."""
+
+    def links(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        i, j, block = part["i"].iat[0], part["j"].iat[0], part["block"].to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        n = part["nx"].to_numpy()
+        own = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in part["bits"]]), axis=1).astype(np.float32)
+        both = own[left] @ own[right].T
+        extra = [np.frombuffer(x, np.uint64) for x in part["extra"]]
+        who = np.repeat(np.arange(len(extra)), [len(x) for x in extra])
+        values, code, count = np.unique(np.concatenate(extra), return_inverse=True, return_counts=True)
+        often = np.flatnonzero(count > 1)
+        for at in range(0, len(often), 4096):
+            column = np.full(len(values), -1)
+            column[often[at : at + 4096]] = np.arange(len(often[at : at + 4096]))
+            keep = column[code] >= 0
+            m = np.zeros((len(extra), len(often[at : at + 4096])), np.float32)
+            m[who[keep], column[code[keep]]] = 1
+            both += m[left] @ m[right].T
+        found = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        a, b = np.nonzero(found)
+        a, b = left[a], right[b]
+        keep = np.flatnonzero(a < b) if i == j else np.arange(len(a))
+        keep = keep[_forest(a[keep], b[keep])]
+        fp = part["x"].to_numpy()
+        return fp[a[keep]], fp[b[keep]]
+
+    key = ["y", "i", "j"]
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            change = np.flatnonzero((held[key].to_numpy()[1:] != held[key].to_numpy()[:-1]).any(1)) + 1
+            if len(change):
+                xs, ys = zip(*[links(held.iloc[a:b]) for a, b in zip([0, *change[:-1]], change)])
+                yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+                held = held.iloc[change[-1] :]
+        if held is not None and len(held):
+            x, y = links(held)
+            yield pd.DataFrame({"x": x, "y": y})
+
+    return blocks.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "x long, y long")
 
 
 class Groups:
     """The join; ``docs`` has ``doc_id`` (long) and ``text``."""
 
-    def __init__(self, docs: DataFrame, words: int = 4, percent: int = 85, pivot_rounds: int = 8, few: float = 8):
+    def __init__(self, docs: DataFrame, words: int = 4, percent: int = 85, rounds: int = 3, block: int = 256):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.words, self.percent, self.pivot_rounds, self.few = words, percent, pivot_rounds, few
+        self.words, self.percent, self.rounds, self.block = words, percent, rounds, block
+        self.t = (100 - percent) / 100
         self.scratch = Scratch(docs.sparkSession)
 
     def _linked(self, measured: DataFrame) -> DataFrame:
         return measured.where(100 * F.col("both") >= self.percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
 
-    def _sizes_fit(self, a: str, b: str):
-        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
-
-    def _components(self, links: DataFrame) -> DataFrame:
-        return self.scratch.put(connected_components(links.selectExpr("x as u", "y as v"), self.scratch))
+    def _sharing(self, tokens: DataFrame, least: str) -> DataFrame:
+        """Pairs ``(x, y)`` of ``tokens(token, fp, n)`` of fitting sizes with at least ``least`` shingles in common."""
+        a = tokens.select("token", F.col("fp").alias("x"), F.col("n").alias("nx"))
+        b = tokens.select("token", F.col("fp").alias("y"), F.col("n").alias("ny"))
+        met = a.join(b, "token").where("x < y").where(100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny"))
+        met = met.groupBy("x", "y").agg(F.count("*").alias("c"), (1 + F.expr("least(first(nx), first(ny)) * 3 div 100")).alias("need"))
+        return met.where(f"c >= {least}").select("x", "y")
+
+    def _region_links(self, measured: DataFrame) -> DataFrame:
+        """Links among the members of each region; ``measured`` has their distances to the pivot y."""
+        d = 1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))
+        linked = 100 * F.col("both") >= self.percent * (F.col("nx") + F.col("ny") - F.col("both"))
+        shell = F.when(linked, 0).otherwise(F.greatest(F.lit(1), F.floor(d / self.t - 1e-9).cast("int")))
+        near = measured.where("bits is not null").select("x", "y", "nx", "bits", "extra", shell.alias("shell"))
+        count = near.groupBy("y", "shell").agg(F.ceil(F.count("*") / self.block).cast("int").alias("k"))
+        shells = int(NEAR / self.t) + 2
+        count = count.groupBy("y").agg(*[F.coalesce(F.max(F.when(F.col("shell") == s, F.col("k"))), F.lit(0)).alias(f"k{s}") for s in range(shells)])
+        first = [" + ".join(["0", *[f"k{r}" for r in range(s)]]) for s in range(shells + 1)]  # first block of each shell
+        pick = lambda f: "case shell " + " ".join(f"when {s} then {f(s)}" for s in range(shells)) + " end"
+        # the innermost shell meets the next only, any other its neighbours and itself
+        low = pick(lambda s: first[1] if s <= 0 else (first[s - 1]))
+        high = pick(lambda s: first[min(s + 2, shells)])
+        placed = near.join(count.where(" + ".join(f"k{s}" for s in range(1, shells)) + " > 0"), "y").select(
+            "x", "y", "nx", "bits", "extra",
+            F.expr(f"({pick(lambda s: first[s])}) + pmod(xxhash64(x), greatest({pick(lambda s: f'k{s}')}, 1))").cast("int").alias("block"),
+            F.expr(low).cast("int").alias("low"),
+            F.expr(high).cast("int").alias("high"),
+        )
+        met = placed.where("low < high").withColumn("other", F.explode(F.expr("sequence(low, high - 1)")))
+        blocks = met.select("x", "y", "nx", "bits", "extra", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        return _join_blocks(blocks, self.percent)
 
     def links(self, classes: DataFrame) -> DataFrame:
         """Links that connect every pair of linked classes, directly or through others. ``classes(fp, n, rep, prefix)``."""
         put, drop = self.scratch.put, self.scratch.drop
-        t = (100 - self.percent) / 100 + 1e-9
         spread = classes.select("fp", F.explode("prefix").alias("token"))
-        shared = spread.groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("token")
-        counts = spread.join(shared, "token").groupBy("fp").agg(F.count("*").alias("c"))
-        alive = put(classes.join(counts, "fp").where("c >= 1 + (n * 3) div 100").select("fp", "n", "rep", "prefix"))
+        shared = spread.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+        hits = spread.join(shared, "token").groupBy("fp").agg(
+            F.collect_list(F.when(F.col("k") <= FEW, F.col("token"))).alias("few"), F.collect_list(F.when(F.col("k") > FEW, F.col("token"))).alias("many")
+        )
+        alive = hits.join(classes.select("fp", "n", "rep"), "fp").where("size(few) + size(many) >= greatest(1, n * 3 div 100)")
+        alive = put(alive)
         self.scratch.release()
         sets = put(_sets(self.docs, alive.select("fp", "rep"), self.words))
-
-        tokens = alive.select("fp", "n", F.explode("prefix").alias("token"))
-        pivots = tokens.groupBy("token").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other")).where("pivot < other")
-        members = put(tokens.join(pivots.drop("other"), "token"))
-        measured = put(_distances(members.where("fp <> pivot").select(F.col("fp").alias("x"), F.col("pivot").alias("y")).distinct(), sets))
-        links = put(self._linked(measured))
-        distance = measured.select(F.col("x").alias("fp"), F.col("y").alias("pivot"), (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("d"))
-        regions = put(members.join(distance, ["fp", "pivot"], "left").select("token", "fp", "n", F.coalesce("d", F.lit(0.0)).alias("d")))
-        drop(members)
+        # of the shingles that a pair must share, half are in small groups, or more than half in large ones
+        pairs = self._sharing(alive.select("fp", "n", F.explode("few").alias("token")), "(need + 1) div 2")
+        close = put(self._linked(_measure(pairs, sets)))
+        left = alive.where("size(many) > n * 12 div 1000").select("fp", "n", F.explode("many").alias("token"))
+        links = [close]
+        for turn in range(self.rounds):
+            first = F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp"))
+            pivots = left.groupBy("token").agg(first["fp"].alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
+            members = put(left.join(pivots, "token"))
+            pairs = members.where("fp <> pivot").select(F.col("fp").alias("x"), F.col("pivot").alias("y")).distinct()
+            measured = put(_measure(pairs, sets))
+            links += [put(self._linked(measured)), put(self._region_links(measured))]
+            distance = measured.select(F.col("x").alias("fp"), F.col("y").alias("pivot"), (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("d"))
+            distance = distance.where(F.col("d") > NEAR - self.t - 1e-9)
+            far = members.where("fp <> pivot").join(distance, ["fp", "pivot"])
+            left = put(far.select("token", "fp", "n"))
+            drop(members)
+            drop(measured)
         self.scratch.release()
-        tested = measured.select("x", "y")
-        for turn in range(self.pivot_rounds + 1):
-            roots = self._components(links)
-            named = regions.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-            named = put(named)
-            per = named.groupBy("token", "root").agg(F.count("*").alias("k"))
-            state = per.groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("roots"))
-            state = put(state.where("roots > 1").select("token", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"), "all"))
-            drop(regions)
-            regions = put(named.join(state.select("token"), "token").select("token", "fp", "n", "d", "root"))
-            drop(named)
-            left = state.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("rows")).first()
-            drop(state)
-            if not left["rows"]:
-                return links
-            direct = turn == self.pivot_rounds or left["pairs"] <= self.few * left["rows"]
-            if direct:
-                a = regions.select("token", F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("root").alias("rx"))
-                b = regions.select("token", F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("root").alias("ry"))
-                met = a.join(b, "token").where("rx < ry").where(self._sizes_fit("nx", "ny")).where(F.abs(F.col("dx") - F.col("dy")) <= t)
-                met = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.least(F.first("nx"), F.first("ny")).alias("least"))
-                pairs = met.where("c >= 1 + (least * 3) div 100").select("x", "y")
-            else:
-                order = F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "d", "root")
-                elected = regions.groupBy("token").agg(F.min(order).alias("p"))
-                met = regions.join(elected, "token").where("root <> p.root").where(self._sizes_fit("n", "p.n"))
-                pairs = met.where(F.abs(F.col("d") - F.col("p.d")) <= t).select(F.col("fp").alias("x"), F.col("p.fp").alias("y")).distinct()
-            fresh = pairs.join(tested, ["x", "y"], "left_anti")
-            found = put(_distances(fresh, sets))
-            links = put(links.unionByName(self._linked(found)))
-            if direct:
-                return links
-            tested = put(tested.unionByName(found.select("x", "y")))
-            regions = put(regions.drop("root"))
+        rest = self._sharing(left, "need div 2 + 1")
+        links.append(put(self._linked(_measure(rest, sets))))
+        out = links[0]
+        for more in links[1:]:
+            out = out.unionByName(more)
+        return out
 
     def result(self) -> DataFrame:
         """``(doc_id, n_shingles, component_id)``, a row per row of the input."""
@@ -230,7 +321,7 @@ class Groups:
         self.scratch.drop(rows)
         self.scratch.release()
         links = self.links(classes.where("rep is not null"))
-        roots = self._components(links).withColumnRenamed("node", "fp")
+        roots = put(connected_components(links.selectExpr("x as u", "y as v"), self.scratch)).withColumnRenamed("node", "fp")
         named = put(roots.join(classes.select("fp", "rep"), "fp"))
         least = put(named.groupBy("root").agg(F.min("rep").alias("component_id")))
         linked = put(named.join(least, "root").select("fp", "component_id"))

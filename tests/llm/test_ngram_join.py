@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from latticework.llm import ngram_join
 from latticework.llm.ngram_join import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,11 +56,12 @@ def corpus(seed):
     return out + [(5000, None), (5001, ""), (5002, " \t\n"), (out[0][0], "other text of a repeated id here"), (5003, "long text " * 20000), (5004, "Long\ttext " * 19990)]
 
 
-@pytest.mark.parametrize("seed,few,rounds", [(1, 8, 8), (2, 0.01, 2)])
-def test_same_as_brute_force(spark, seed, few, rounds):
+@pytest.mark.parametrize("seed,rounds,block", [(1, 3, 256), (2, 1, 7), (3, 2, 3)])
+def test_same_as_brute_force(spark, monkeypatch, seed, rounds, block):
+    monkeypatch.setattr(ngram_join, "FEW", seed)
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")
-    got = near_duplicates(df, few=few, pivot_rounds=rounds).collect()
+    got = near_duplicates(df, rounds=rounds, block=block).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
 
 
