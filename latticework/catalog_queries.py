@@ -11,8 +11,11 @@ from pyspark.sql.window import Window
 from latticework.functions import scalars as S
 from latticework.functions import timeseries as TS
 from latticework.operators import algorithms as A
+from latticework.operators import paths as P
 from latticework.operators import rules as R
+from latticework.operators import spatial as SP
 from latticework.operators.selection import Selection
+from latticework.plans import compute as C
 from latticework.plans.graph import PropertyGraph, trade_graph
 from latticework.sources import io
 from latticework.streaming import feed
@@ -583,3 +586,87 @@ def select_calculate(g):
 @query("graph_statistics", "SELECT 'Customer' AS source, 'PLACED' AS kind, 'Order' AS target, count(*) AS n FROM orders UNION ALL SELECT 'Order', 'CONTAINS', 'Part', count(*) FROM lineitem UNION ALL SELECT 'Nation', 'IN_REGION', 'Region', count(*) FROM nation")
 def graph_statistics(g):
     return g.stats().where("kind in ('PLACED', 'CONTAINS', 'IN_REGION')")
+
+
+# --- paths, clusters and computed elements
+
+STEPS = f"WITH RECURSIVE e AS ({LINKS} AND l_quantity > 49), "
+
+
+def _sparse_links(g):
+    rows = g.match("c", "Customer").hop("c", "PLACED", "o", "Order").hop("o", "SUPPLIED_BY", "s", "Supplier", rel="l", rel_where="l_quantity > 49 and l_discount > 0.095")
+    return rows.frame.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+
+
+@query("all_shortest_path_counts", STEPS + "w(a, x, h) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey < 6 UNION ALL SELECT a, dst, h + 1 FROM w JOIN e ON x = src WHERE h < 5), m AS (SELECT a, x, min(h) AS h FROM w GROUP BY 1, 2) SELECT m.a AS source, m.x AS id, m.h AS hops, count(*) AS paths FROM m JOIN w ON w.a = m.a AND w.x = m.x AND w.h = m.h GROUP BY ALL")
+def all_shortest_path_counts(g):
+    return P.shortest_path_counts(g.nodes["Nation"].where("id < 6").select("id"), _sparse_links(g), most=5)
+
+
+@query("weighted_distances", STEPS + "w(a, x, d, h) AS (SELECT n_nationkey, n_nationkey, 0, 0 FROM nation WHERE n_nationkey < 4 UNION SELECT a, dst, d + 1 + (src * 7 + dst * 3) % 5, h + 1 FROM w JOIN e ON x = src WHERE h < 7) SELECT a AS source, x AS id, min(d)::double AS distance FROM w GROUP BY 1, 2")
+def weighted_distances(g):
+    e = _sparse_links(g).withColumn("cost", 1 + (F.col("src") * 7 + F.col("dst") * 3) % 5)
+    return P.weighted_distances(g.nodes["Nation"].where("id < 4").select("id"), e, "cost", most=7)
+
+
+@query("expand_two_hops", STEPS + "b AS (SELECT src AS u, dst AS v FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), w(x, h) AS (SELECT 3, 0 UNION SELECT v, h + 1 FROM w JOIN b ON x = u WHERE h < 2) SELECT DISTINCT x AS id FROM w")
+def expand_two_hops(g):
+    return P.expand(g.nodes["Nation"].where("id = 3"), _sparse_links(g), 2)
+
+
+@query("induced_subgraph", STEPS + "dummy AS (SELECT 1) SELECT src, dst FROM e WHERE src < 12 AND dst < 12")
+def induced_subgraph(g):
+    return P.induced(_sparse_links(g), g.nodes["Nation"].where("id < 12")).select("src", "dst")
+
+
+@query("betweenness_centrality", None)
+def betweenness_centrality(g):
+    return P.betweenness(g.nodes["Nation"].select("id"), _sparse_links(g)).select("id", F.round("score", 9).alias("score"))
+
+
+@query("spatial_join", f"WITH p AS (SELECT c_custkey AS id, {COORDS} FROM customer), a AS (SELECT n_nationkey AS id, (n_nationkey * 13 % 120 - 60) + 0.5 AS lat, (n_nationkey * 29 % 300 - 150) + 0.5 AS lon FROM nation) SELECT p.id AS point, a.id AS area FROM p JOIN a ON p.lat BETWEEN a.lat - 6 AND a.lat + 6 AND p.lon BETWEEN a.lon - 9 AND a.lon + 9")
+def spatial_join(g):
+    at = lambda y, x: F.struct((F.col("id") * 13 % 120 - 60 + 0.5 + y).cast("double").alias("lat"), (F.col("id") * 29 % 300 - 150 + 0.5 + x).cast("double").alias("lon"))
+    areas = g.nodes["Nation"].select("id", F.array(at(-6, -9), at(-6, 9), at(6, 9), at(6, -9)).alias("ring"))
+    return SP.points_in_areas(_places(g), areas, cell=5.0)
+
+
+@query("dbscan", f"WITH RECURSIVE p AS (SELECT c_custkey AS id, {COORDS} FROM customer WHERE c_custkey < 400), n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) <= 64), c AS (SELECT a AS id FROM n GROUP BY 1 HAVING count(*) >= 2), l AS (SELECT a, b FROM n WHERE a IN (FROM c) AND b IN (FROM c)), r(a, x) AS (SELECT id, id FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.x = l.a), k AS (SELECT a AS id, min(x) AS cluster FROM r GROUP BY 1), e AS (SELECT n.b AS id, min(cluster) AS border FROM n JOIN k ON n.a = k.id GROUP BY 1) SELECT p.id, coalesce(cluster, border, -1) AS cluster FROM p LEFT JOIN k ON k.id = p.id LEFT JOIN e ON e.id = p.id")
+def dbscan(g):
+    return SP.dbscan(_places(g).where("id < 400").select("id", F.col("lat").alias("x"), F.col("lon").alias("y")), 8.0, 2)
+
+
+@query("compute_chain", "SELECT count(*) AS n, count(DISTINCT b) AS targets FROM (SELECT lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL")
+def compute_chain(g):
+    return C.chain(g, "Order", "THEN", "custkey", ["orderdate"]).all_edges("THEN").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("targets"))
+
+
+@query("compute_calendar", "WITH d AS (SELECT min(o_orderdate)::date AS a, max(o_orderdate)::date AS b FROM orders), r AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::date AS x FROM d) SELECT strftime(x, '%Y-%m') AS month, count(*) AS days, sum((SELECT count(*) FROM orders WHERE o_orderdate::date = x))::bigint AS orders FROM r GROUP BY 1")
+def compute_calendar(g):
+    C.calendar(g, "Order", "orderdate")
+    n = g.all_edges("ON_DATE").groupBy(F.col("dst").alias("day")).agg(F.count("*").alias("n"))
+    days = g.all_edges("IN_MONTH").join(n, F.col("src") == F.col("day"), "left")
+    return days.groupBy(F.col("dst").alias("month")).agg(F.count("*").alias("days"), F.sum(F.coalesce("n", F.lit(0))).alias("orders"))
+
+
+@query("compute_aggregate", "SELECT c_nationkey AS nationkey, c_mktsegment AS mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total, arg_min(c_custkey, (c_acctbal, c_custkey)) AS poorest FROM customer GROUP BY 1, 2")
+def compute_aggregate(g):
+    C.aggregate(g, "Customer", "Group", ["nationkey", "mktsegment"], {"n": "count(*)", "total": "round(sum(acctbal), 2)", "poorest": "min_by(id, struct(acctbal, id))"}, "MEMBER_OF")
+    return g.nodes["Group"].drop("id")
+
+
+@query("compute_derive_filter", "SELECT p_partkey AS id, round(p_retailprice / p_size, 4) AS per_unit FROM part WHERE p_retailprice / p_size < 40")
+def compute_derive_filter(g):
+    C.keep(C.derive(g, "Part", {"ratio": "retailprice / size", "per_unit": "round(ratio, 4)"}), "Part", "ratio < 40", "Cheap")
+    return g.nodes["Cheap"].select("id", "per_unit")
+
+
+@query("property_statistics", "SELECT count(p_brand) AS value_count, count(*) - count(p_brand) AS null_count, count(DISTINCT p_brand) AS distinct_count, count(p_brand) = count(DISTINCT p_brand) AS is_unique FROM part")
+def property_statistics(g):
+    return C.property_stats(g.nodes["Part"], "brand")
+
+
+@query("poly_label_neighbours", "SELECT n_name AS nation, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def poly_label_neighbours(g):
+    rows = g.match("n", "Nation").count("n", "IN_NATION", "Customer", "customers", direction="in").count("n", "IN_NATION", "Supplier", "suppliers", direction="in")
+    return rows.frame.select(F.col("n_name").alias("nation"), "customers", "suppliers")
