@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from latticework.functions import scalars as S
 from latticework.functions import timeseries as TS
 from latticework.operators import algorithms as A
+from latticework.operators import communities
 from latticework.operators import paths as P
 from latticework.operators import rules as R
 from latticework.operators import spatial as SP
@@ -670,3 +671,8 @@ def property_statistics(g):
 def poly_label_neighbours(g):
     rows = g.match("n", "Nation").count("n", "IN_NATION", "Customer", "customers", direction="in").count("n", "IN_NATION", "Supplier", "suppliers", direction="in")
     return rows.frame.select(F.col("n_name").alias("nation"), "customers", "suppliers")
+
+
+@query("louvain_communities", None)
+def louvain_communities(g):
+    return communities.louvain(*_nations(g))
