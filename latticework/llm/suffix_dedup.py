@@ -256,7 +256,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200, most: int = 2000) -> Dat
     keys = ["anchor", "cls"]
     counts = members.groupBy(*keys).agg(F.count("*").alias("c"), F.min("starts").alias("starts"), F.min("off").alias("off"))
     counts = put(counts)
-    several = counts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    several = put(counts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
     spans = members.where("span is not null").groupBy(*keys).agg(F.first("span").alias("span"))
     open_ = put(counts.join(several, "anchor", "left_semi").join(spans, keys))
 
@@ -281,7 +281,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200, most: int = 2000) -> Dat
     hits = members.select("doc_id", "row", "start", *keys).join(decided, keys)
     ranges = hits.select("doc_id", "row", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b")).alias("r"))
     out = put(ranges.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("r")).alias("ranges")))
-    for t in (members, cells, shared, open_, counts, decided):
+    for t in (members, cells, shared, open_, counts, several, decided):
         drop(t)
     return out
 
