@@ -277,12 +277,14 @@ class Groups:
         """Links that connect every pair of linked classes, directly or through others. ``classes(fp, n, rep, prefix)``."""
         put, drop = self.scratch.put, self.scratch.drop
         spread = classes.select("fp", F.explode("prefix").alias("token"))
-        shared = spread.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+        # a table of its own, so that a join on a frequent shingle can be split
+        shared = put(spread.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
         hits = spread.join(shared, "token").groupBy("fp").agg(
             F.collect_list(F.when(F.col("k") <= FEW, F.col("token"))).alias("few"), F.collect_list(F.when(F.col("k") > FEW, F.col("token"))).alias("many")
         )
         alive = hits.join(classes.select("fp", "n", "rep"), "fp").where("size(few) + size(many) >= greatest(1, n * 3 div 100)")
         alive = put(alive)
+        drop(shared)
         self.scratch.release()
         sets = put(_sets(self.docs, alive.select("fp", "rep"), self.words))
         # of the shingles that a pair must share, half are in small groups, or more than half in large ones
@@ -293,7 +295,9 @@ class Groups:
         for turn in range(self.rounds):
             first = F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp"))
             pivots = left.groupBy("token").agg(first["fp"].alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
+            pivots = put(pivots)
             members = put(left.join(pivots, "token"))
+            drop(pivots)
             pairs = members.where("fp <> pivot").select(F.col("fp").alias("x"), F.col("pivot").alias("y")).distinct()
             measured = put(_measure(pairs, sets))
             links += [put(self._linked(measured)), put(self._region_links(measured))]
