@@ -15,8 +15,10 @@ LEAST_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, no letter, or no clear decision."""
+    """Drops documents without a language: no text, no letter, or no clear decision. Without labels letters decide."""
     model = lang_id.fit(docs, F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(True)))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = lang_id.predict(docs, model)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 

@@ -69,3 +69,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(now)
     assert 100 not in now and 101 not in now and 106 not in now and 104 not in now and len(now) > 40
+
+
+def test_stages_on_edge_cases(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = [(1, None, None, None, None), (None, "a text of a null id here", None, None, None), (2, "", "en", "s", 0), (3, "some words of it", None, "s", 5), (3, "some words of it", None, "s", 5), (3, "other words of the id", None, "s", 5)]
+    for rows in (odd, []):
+        df = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            df = stage(spark, df, str(tmp_path))
+            if name != "packing":
+                assert df.columns == [c.split()[0] for c in schema.split(", ")]
+        # the repeated row goes, the null id and the other text of the id stay
+        assert sorted(str(r.doc_id) for r in df.collect()) == (["3", "3", "None"] if rows else [])
