@@ -34,3 +34,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (wrapping arithmetic)."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
+
+
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most ``most``: all from some count on, so that nothing is sorted.
+
+    Only a histogram of counts, of at most a million numbers, reaches the driver.
+    """
+    capped = F.least(F.col(count), F.lit(1_000_000))
+    found = counted.groupBy(capped.alias("c")).agg(F.count("*").alias("n")).toArrow()
+    c, n = found["c"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(-c)
+    fits = np.flatnonzero(np.cumsum(n[order]) <= most)
+    least = int(c[order][fits[-1]]) if len(fits) else 1_000_001
+    return counted.where(capped >= least)

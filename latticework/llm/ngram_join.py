@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import encode, mix
+from latticework.llm.common import encode, mix, most_frequent
 from latticework.operators.components import connected_components
 from latticework.storage import Scratch
 
@@ -93,8 +93,8 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(SAMPLE)) == 0).select("text")
     sets = sample.mapInPandas(shingles, "fp long, s array<long>").dropDuplicates(["fp"])
     often = sets.select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)
-    top = often.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).select("s").collect()
-    return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+    top = most_frequent(often, "count", MOST_FREQUENT).select("s").toArrow()
+    return np.sort(top["s"].to_numpy().view(np.uint64))
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
