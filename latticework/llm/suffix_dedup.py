@@ -34,8 +34,9 @@ from latticework.llm.suffix_array import equal_prefixes, suffix_array
 from latticework.storage import Scratch
 
 ANCHOR = 64
-#: Anchors up to which a bitmap spares the second pass the rows of others. Beyond it all rows are shuffled.
-BITMAP_ANCHORS, BITMAP_BITS = 20_000_000, 27
+#: The bitmap that spares the second pass most rows of other anchors has 16 bits an anchor, within these powers of two.
+#: Where it is full, more rows are shuffled; the result is the same.
+BITMAP_BITS = (20, 29)
 #: Bytes that are sorted at once.
 BATCH = 1_000_000
 CELLS = 4
@@ -120,25 +121,25 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     return grouped.where("c > 1")
 
 
-def _members(docs: DataFrame, length: int, wanted: np.ndarray | None, mixed: np.ndarray | None) -> DataFrame:
+def _bitmap(anchors: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the anchors' order hashes, put together in words by the cluster: a fixed number of words at most."""
+    place = F.col("small").bitwiseAND(F.lit((1 << bits) - 1))
+    words = anchors.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, int(small & {(1 << bits) - 1} & 63))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return out
+
+
+def _members(docs: DataFrame, length: int, wanted: np.ndarray, mixed: np.ndarray) -> DataFrame:
     """Runs of wanted anchors. ``span`` is there for the first run of a class in a batch, if its anchor is mixed."""
 
-    def bits(values):
-        if values is None:
-            return None
-        out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-        v = values & ((1 << BITMAP_BITS) - 1)
-        np.bitwise_or.at(out, v >> 3, (1 << (v & 7)).astype(np.uint8))
-        return out
+    def hit(bitmap, small):
+        v = small.astype(np.int64) & (64 * len(bitmap) - 1)
+        return (bitmap[v >> 6] >> (v & 63).astype(np.uint64)) & np.uint64(1) == 1
 
     def run(batches):
         runs = Runs(length)
-        want, mix = bits(wanted), bits(mixed)
-
-        def hit(bitmap, small):
-            v = small.astype(np.int64) & ((1 << BITMAP_BITS) - 1)
-            return np.ones(len(v), bool) if bitmap is None else (bitmap[v >> 3] >> (v & 7).astype(np.uint8)) & 1 == 1
-
         for pdf in batches:
             parts, spans, ids, texts, seen = [], [], [], [], set()
             for i, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"]):
@@ -146,14 +147,14 @@ def _members(docs: DataFrame, length: int, wanted: np.ndarray | None, mixed: np.
                 found = runs(text)
                 if found is None:
                     continue
-                keep = hit(want, found[0])
+                keep = hit(wanted, found[0])
                 if not keep.any():
                     continue
                 small, name, span, start, starts, off = (x[keep] for x in found)
                 parts.append((name.view(np.int64), span.view(np.int64), start, starts, off))
                 ids += [i] * len(name)
                 texts += [row] * len(name)
-                mixed_here = hit(mix, small)
+                mixed_here = hit(mixed, small)
                 for k in range(len(name)):
                     pair = (int(name[k]), int(span[k]))
                     if mixed_here[k] and pair not in seen:
@@ -245,12 +246,8 @@ def repeated_ranges(docs: DataFrame, length: int = 200, most: int = 2000) -> Dat
     scratch = Scratch(spark)
     put, drop = scratch.put, scratch.drop
     anchors = put(_anchors(docs, length))
-    n = anchors.count()
-    wanted = mixed = None
-    if n <= BITMAP_ANCHORS:
-        found = anchors.select(F.col("small"), (F.col("a") < F.col("b")).alias("mixed")).toArrow()
-        small, several = found["small"].to_numpy(), found["mixed"].to_numpy()
-        wanted, mixed = np.unique(small), np.unique(small[several])
+    bits = min(max(int(16 * anchors.count()).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
+    wanted, mixed = _bitmap(anchors, bits), _bitmap(anchors.where("a < b"), bits)
     drop(anchors)
     members = put(_members(docs, length, wanted, mixed))
     keys = ["anchor", "cls"]
