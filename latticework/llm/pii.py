@@ -1,8 +1,8 @@
 """Personal data: patterns with checks, and a character BiLSTM-CRF for forms that the patterns don't cover.
 
 The base spans are what the four patterns find. The tagger is trained on labelled spans: base spans of at most
-``sample`` documents (those of least text hash that have a digit or an at sign), in their contexts, as written and
-rewritten to other surface forms (a phone without its plus, an address with "at" spelt out, a grouped card number),
+about ``sample`` documents (drawn by a hash among those that have a digit or an at sign), in their contexts, as written
+and rewritten to other surface forms (a phone without its plus, an address with "at" spelt out, a grouped card number),
 with everything else around them labelled as text. It reads texts in overlapping windows of ``WINDOW`` characters, and every
 character belongs to the window in whose middle half it lies: a window's span counts if its own centre does. Spans of
 all windows are then put in order, and those that overlap a base span or an earlier one, or fail the check of their
@@ -182,7 +182,7 @@ def new_tagger(seed: int = 0) -> Tagger:
 
 
 def train(docs: DataFrame, sample: int = 1000, windows: int = 4000, steps: int = 250) -> Tagger:
-    """A tagger from base spans of at most ``sample`` documents."""
+    """A tagger from base spans of about ``sample`` documents at most."""
 
     def contexts(batches):
         for pdf in batches:
@@ -196,9 +196,11 @@ def train(docs: DataFrame, sample: int = 1000, windows: int = 4000, steps: int =
                     rows.append((text[max(0, m.start() - WINDOW) : m.start()], text[m.start() : m.start() + WINDOW], -1, ""))
             yield pd.DataFrame(rows, columns=["before", "after", "kind", "value"])
 
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample)
+    some, span = docs.where(F.col("text").rlike("[0-9@]")), 1 << 30
+    share = int(span * min(1.0, sample / max(some.count(), 1)))
+    some = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < share)
     rows = some.select("text").mapInPandas(contexts, "before string, after string, kind int, value string").collect()
-    found = sorted(map(tuple, rows)) or [("the text before it. ", " and the text after it, as it goes on.", -1, "")]
+    found = sorted(set(map(tuple, rows))) or [("the text before it. ", " and the text after it, as it goes on.", -1, "")]
     tagger = new_tagger()
     tagger.fit(*Labelled().windows(found, windows), steps=steps)
     return tagger
