@@ -31,8 +31,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     """``edges(u, v)`` of any orderable type to ``(node, root)``: root is the least node reachable.
 
     Self-loops and repeated or null-ended edges are ignored; nodes without an edge don't appear. Each round is
-    two shuffled star steps written to shared storage; hubs are split by adaptive skew joins, the minimum is
-    pre-aggregated, and the number of rounds grows with the logarithm of the size. Raises after ``max_rounds``.
+    two shuffled star steps written to shared storage; minima are pre-aggregated, and the neighbours of a hub (two ids
+    a row) pass through one task as a stream, and the number of rounds grows with the logarithm of the size. Raises after ``max_rounds``.
     """
     now = scratch.put(
         edges.where("u is not null and v is not null and u <> v")
