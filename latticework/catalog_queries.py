@@ -676,3 +676,51 @@ def poly_label_neighbours(g):
 @query("louvain_communities", None)
 def louvain_communities(g):
     return communities.louvain(*_nations(g))
+
+
+# --- the same over whole tables: the queries above start at few ids, as their SQL does
+
+#: How many events each user has; consecutive ones are linked.
+CHAINS = "WITH u AS (SELECT count(*) AS k FROM events GROUP BY user_id) "
+
+
+@query("var_length_paths_whole", CHAINS + "SELECT h AS hops, sum(greatest(k - h, 0))::bigint AS n FROM u, (SELECT unnest(range(1, 4)) AS h) GROUP BY 1 HAVING n > 0")
+def var_length_paths_whole(g):
+    return g.match("a", "Event").paths("a", "NEXT", "p", 1, 3).frame.groupBy(F.col("p_hops").alias("hops")).agg(F.count("*").alias("n"))
+
+
+@query("var_length_from_zero_whole", CHAINS + "SELECT sum(k + greatest(k - 1, 0) + greatest(k - 2, 0))::bigint AS n FROM u")
+def var_length_from_zero_whole(g):
+    return g.match("a", "Event").paths("a", "NEXT", "p", 0, 2).frame.agg(F.count("*").alias("n"))
+
+
+@query("reachable_within_whole", "WITH e AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS after FROM events) SELECT least(after, 10) AS reached, count(*) AS n FROM e WHERE after > 0 GROUP BY 1")
+def reachable_within_whole(g):
+    far = A.hops_from(g.nodes["Event"].select("id"), g.all_edges("NEXT"), most=10).where("hops > 0")
+    return far.groupBy("source").agg(F.count("*").alias("reached")).groupBy("reached").agg(F.count("*").alias("n"))
+
+
+@query("shortest_path_length_whole", CHAINS + "SELECT h AS hops, sum(greatest(k - h, 0))::bigint AS n FROM u, (SELECT unnest(range(1, 41)) AS h) GROUP BY 1 HAVING n > 0")
+def shortest_path_length_whole(g):
+    far = A.hops_from(g.nodes["Event"].select("id"), g.all_edges("NEXT"), most=40).where("hops > 0")
+    return far.groupBy("hops").agg(F.count("*").alias("n"))
+
+
+ORACLE["unwind_list_whole"] = "SELECT k, count(*) AS n, round(min(x), 5) AS low, round(max(x), 5) AS high FROM (SELECT unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::double AS x FROM embeddings) GROUP BY 1"
+QUERIES["unwind_list_whole"] = lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").select(F.posexplode("embedding").alias("p", "v")).groupBy((F.col("p") + 1).cast("long").alias("k")).agg(F.count("*").alias("n"), F.round(F.min(F.col("v").cast("double")), 5).alias("low"), F.round(F.max(F.col("v").cast("double")), 5).alias("high"))
+
+
+@query("all_shortest_path_counts_whole", None)
+def all_shortest_path_counts_whole(g):
+    return P.shortest_path_counts(g.nodes["Nation"].select("id"), _nation_links(g))
+
+
+@query("weighted_distances_whole", None)
+def weighted_distances_whole(g):
+    e = _nation_links(g).withColumn("cost", 1 + (F.col("src") * 7 + F.col("dst") * 3) % 5)
+    return P.weighted_distances(g.nodes["Nation"].select("id"), e, "cost")
+
+
+@query("dbscan_whole", None)
+def dbscan_whole(g):
+    return SP.dbscan(_places(g).select("id", F.col("lat").alias("x"), F.col("lon").alias("y")), 8.0, 2)

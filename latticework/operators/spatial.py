@@ -38,18 +38,21 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     """``(id, cluster)`` of ``points(id, x, y)``: the least core id of the cluster, -1 for noise.
 
     A core has ``least`` other points within ``eps``; cores in reach are one cluster (connected components), and other
-    points take the least cluster of a core in reach. Cells are ``eps`` wide, so a point meets nine of them.
+    points take the least cluster of a core in reach. Points of one place are one row with a count, so copies never
+    meet each other. Cells are ``eps`` wide, so a place meets nine of them. A point without coordinates is noise.
     """
     scratch = Scratch(points.sparkSession)
-    here = points.select("id", "x", "y", F.floor(F.col("x") / eps).alias("i"), F.floor(F.col("y") / eps).alias("j"))
+    places = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)").groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("w"))
+    here = scratch.put(places.select("id", "x", "y", "w", F.floor(F.col("x") / eps).alias("i"), F.floor(F.col("y") / eps).alias("j")))
     around = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     spread = here.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(around).alias("c")).select("a", "ax", "ay", "c.i", "c.j")
-    near = spread.join(here, ["i", "j"]).where("a <> id").where((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2 <= eps * eps)
-    near = scratch.put(near.select("a", F.col("id").alias("b")))
-    cores = scratch.put(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id")))
-    linked = near.join(cores.withColumnRenamed("id", "a"), "a", "left_semi")
+    near = spread.join(here, ["i", "j"]).where((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2 <= eps * eps)
+    near = scratch.put(near.select("a", F.col("id").alias("b"), "w"))
+    cores = scratch.put(near.groupBy("a").agg((F.sum("w") - 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id")))
+    linked = near.where("a <> b").join(cores.withColumnRenamed("id", "a"), "a", "left_semi")
     among = linked.join(cores.withColumnRenamed("id", "b"), "b", "left_semi")
     roots = connected_components(among.selectExpr("a as u", "b as v"), scratch)
     named = scratch.put(cores.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster")))
     edge = linked.join(named.selectExpr("id as a", "cluster"), "a").groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("border"))
-    return points.select("id").join(named, "id", "left").join(edge, "id", "left").select("id", F.coalesce("cluster", "border", F.lit(-1)).alias("cluster"))
+    found = here.select("id", "x", "y").join(named, "id", "left").join(edge, "id", "left").select("x", "y", F.coalesce("cluster", "border").alias("cluster"))
+    return points.select("id", "x", "y").join(found, ["x", "y"], "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
