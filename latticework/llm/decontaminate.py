@@ -1,8 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, mid-sentence capitalised words (names) and units after a number turn into
-typed placeholders, all else is lower-cased and stripped of edge punctuation. Five-token template windows of the
-documents are hash-joined with those of the benchmark. Windows that line up (same document, item and shift) are
+Words become template tokens: numbers, names and units after a number turn into typed placeholders, all else is
+lower-cased and stripped of edge punctuation. Names are capitalised words, those with inner capitals included (NASA,
+McDonald), unless more than ``RUN`` follow each other, as in a headline. A text is read twice. In the first reading
+each word is a token and a capitalised word that starts a sentence is an ordinary one; in the second it is a name, and
+a run of capitalised words that no punctuation divides is one name, so that names at sentence starts and names of
+another length in words meet too. Five-token template windows of the documents are hash-joined with those of the
+benchmark in the same reading; a window counts as found if it is in either. Windows that line up (same document, item and shift) are
 accepted if their slots are consistent: each value in the item always meets the same value in the document and the
 other way round, so a question with other numbers or names in it is still caught and a chance fit is not. An item
 counts as leaked where at least ``coverage`` (0.8) of its windows are found.
@@ -10,8 +14,8 @@ counts as leaked where at least ``coverage`` (0.8) of its windows are found.
 Only windows whose hash the benchmark has are emitted from Python. Up to ``broadcast_windows`` benchmark windows the
 hashes travel as a broadcast array; beyond it all windows go through a shuffled join. Results are the same.
 
-Defined cases: null or empty texts and items with fewer than five words have no window and match nothing; repeated
-items each match; texts are read whole; rows with a null id are returned as clean, since nothing names them; rows that
+Defined cases: null or empty texts and items with fewer than five words have no window and match nothing; an item
+whose second reading has fewer than five tokens counts windows of the first alone; repeated items each match; texts are read whole; rows with a null id are returned as clean, since nothing names them; rows that
 repeat an id are judged together; extra columns are ignored; empty tables give empty results or no match.
 """
 
@@ -37,59 +41,75 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(rb"[+-]?[$\xc2\xa3\xe2\x82\xac]*\d[\d.,:/-]*(?:st|nd|rd|th|%)?")
 EDGES = b".,;:!?\"'()[]{}<>"
-OTHER, NUM, NAME, UNIT = 0, 1, 2, 3
+OTHER, NUM, NAME, UNIT, CAPS = 0, 1, 2, 3, 4
 CACHE = 400_000
+#: Longer runs of capitalised words are no name.
+RUN = 6
+#: Words that are handled at once.
+CHUNK = 100_000
+POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(RUN)], np.uint64)
 
 
 class Canon:
-    """Codes of words, kept while a task runs: template hash, value hash, kind, whether it ends a sentence."""
+    """Codes of words, kept while a task runs: value hash, kind, whether it ends a sentence, whether it ends a run of names."""
 
     def __init__(self):
         self._clear()
 
     def _clear(self):
         self.code: dict[bytes, int] = {}
-        self.rows: list[tuple[int, int, bool]] = []
+        self.rows: list[tuple[int, int, bool, bool]] = []
         self.np = None
 
     def _new(self, word: bytes) -> int:
         core = word.strip(EDGES) or word
-        low = core.decode("utf-8", "replace").lower().encode()
+        text = core.decode("utf-8", "replace")
+        low = text.lower().encode()
         if NUMBER.fullmatch(core):
             kind = NUM
         elif low in UNITS:
             kind = UNIT
         elif low != core and core[1:].decode("utf-8", "ignore").islower():
             kind = NAME
+        elif len(text) > 1 and any(map(str.isupper, text)):
+            kind = CAPS
         else:
             kind = OTHER
         ends = word.rstrip(b"\"')]").endswith((b".", b"!", b"?", b":"))
-        self.rows.append((xxhash.xxh3_64_intdigest(low), kind, ends))
+        self.rows.append((xxhash.xxh3_64_intdigest(low), kind, ends, word[-1:] in EDGES))
         self.code[word] = n = len(self.rows) - 1
         return n
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hashes, value hashes and kinds (after context) of a text's words."""
+    def __call__(self, words: list[bytes], first: np.ndarray) -> tuple:
+        """Two readings of texts whose first words are ``first``: (template hashes, values, kinds, word where each token starts)."""
         if len(self.code) > CACHE:
             self._clear()
         get, new = self.code.get, self._new
         ids = np.fromiter([c if (c := get(w)) is not None else new(w) for w in words], np.int64, len(words))
         if self.np is None or len(self.np[0]) < len(self.rows):
-            h, k, e = zip(*self.rows[len(self.np[0]) if self.np else 0 :])
-            fresh = (np.array(h, np.uint64), np.array(k, np.int8), np.array(e, bool))
+            h, k, e, c = zip(*self.rows[len(self.np[0]) if self.np else 0 :])
+            fresh = (np.array(h, np.uint64), np.array(k, np.int8), np.array(e, bool), np.array(c, bool))
             self.np = fresh if self.np is None else tuple(np.concatenate(x) for x in zip(self.np, fresh))
-        value, kind, ends = (x[ids] for x in self.np)
-        starts = np.empty(len(ids), bool)
-        starts[0], starts[1:] = True, ends[:-1]
-        kind = np.where((kind == NAME) & starts, OTHER, kind)
-        after = np.zeros(len(ids), bool)
-        after[1:] = kind[:-1] == NUM
+        value, kind, ends, closes = (x[ids] for x in self.np)
+        starts, after, joins = np.zeros(len(ids), bool), np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        capital = (kind == NAME) | (kind == CAPS)
+        starts[1:], after[1:], joins[1:] = ends[:-1], kind[:-1] == NUM, capital[:-1] & ~closes[:-1]
+        starts[first], after[first], joins[first] = True, False, False
         kind = np.where((kind == UNIT) & ~after, OTHER, kind)
-        return np.where(kind == OTHER, value, kind.astype(np.uint64)), value, kind
+        run = np.cumsum(capital & ~joins)
+        named = capital & (np.bincount(run[capital], minlength=run[-1] + 1)[run] <= RUN)
+        plain = np.where(kind == CAPS, np.where(named, NAME, OTHER), kind)
+        plain = np.where((plain == NAME) & starts, OTHER, plain)
+        at = np.flatnonzero(~(named & joins))
+        folded = np.where(named, NAME, np.where(capital, OTHER, kind))[at]
+        away = np.arange(len(ids)) - np.repeat(at, np.diff(np.append(at, len(ids))))
+        whole = np.add.reduceat(value * POWERS[away], at)
+        readings = (value, plain, np.arange(len(ids))), (whole, folded, at)
+        return tuple((np.where(k == OTHER, v, k.astype(np.uint64)), v, k, p) for v, k, p in readings)
 
 
 def windows_of(template: np.ndarray) -> np.ndarray:
-    n = len(template) - W + 1
+    n = max(len(template) - W + 1, 0)
     out = np.zeros(n, np.uint64)
     for j in range(W):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + template[j : j + n])
@@ -97,9 +117,10 @@ def windows_of(template: np.ndarray) -> np.ndarray:
 
 
 def _scan(text_column: str, id_column: str, known: np.ndarray | None):
-    """Rows (id, pos, wh, slots) of windows; with ``known`` (sorted hashes) only of those in it.
+    """Rows (id, reading, pos, place, wh, slots) of windows; with ``known`` (sorted hashes) only of those in it.
 
-    slots: for the window's placeholders, offset + 8 * kind and value, flattened.
+    pos: the first token in its own reading; place: that token in the second reading, or the word where the second
+    has no window. slots: for the window's placeholders, offset + 8 * kind and value, flattened.
     """
 
     def scan(batches):
@@ -108,14 +129,15 @@ def _scan(text_column: str, id_column: str, known: np.ndarray | None):
         if known is not None:
             seen = np.zeros(1 << 20, bool)
             seen[known & np.uint64((1 << 20) - 1)] = True
-        for pdf in batches:
-            ids, pos, wh, slots = [], [], [], []
-            for i, text in zip(pdf[id_column], pdf[text_column]):
-                words = encode(text).split()
-                if len(words) < W:
-                    continue
-                template, value, kind = canon(words)
-                h = windows_of(template)
+
+        def rows(ids, words, sizes):
+            first = np.cumsum([0, *sizes[:-1]])
+            readings = canon(words, first)
+            folds = readings[1][3]
+            lead = np.searchsorted(folds, first)  # the first folded token of each text
+            last = np.append(lead[1:], len(folds)) - lead - W
+            for reading, (template, value, kind, begin) in enumerate(readings):
+                h = windows_of(template) ^ np.uint64(reading)
                 if known is None:
                     at = np.arange(len(h))
                 else:
@@ -123,24 +145,43 @@ def _scan(text_column: str, id_column: str, known: np.ndarray | None):
                     if len(at):
                         k = np.searchsorted(known, h[at])
                         at = at[known[np.minimum(k, len(known) - 1)] == h[at]]
+                text = np.searchsorted(first, begin[at], "right") - 1
+                same = text == np.searchsorted(first, begin[at + W - 1], "right") - 1
+                at, text = at[same], text[same]
                 if not len(at):
                     continue
+                word = begin[at] - first[text]
+                place = np.searchsorted(folds, begin[at], "right") - 1 - lead[text]
+                place = np.where(last[text] < 0, word, np.minimum(place, last[text]))
+                slots = []
                 for p in at.tolist():
                     spots = np.flatnonzero(kind[p : p + W])
                     flat = np.empty(2 * len(spots), np.int64)
-                    flat[::2] = spots + 8 * kind[p : p + W][spots]
+                    flat[::2] = spots + 8 * kind[p : p + W][spots].astype(np.int64)
                     flat[1::2] = value[p : p + W][spots].view(np.int64)
                     slots.append(flat)
-                ids += [i] * len(at)
-                pos.append(at)
-                wh.append(h[at].view(np.int64))
-            if pos:
-                yield pd.DataFrame({"id": pd.Series(ids, dtype="Int64"), "pos": np.concatenate(pos), "wh": np.concatenate(wh), "slots": slots})
+                pos = at - lead[text] if reading else word
+                yield pd.DataFrame({"id": pd.Series([ids[t] for t in text.tolist()], dtype="Int64"), "reading": reading, "pos": pos, "place": place, "wh": h[at].view(np.int64), "slots": slots})
+
+        ids, words, sizes = [], [], []
+        for pdf in batches:
+            for i, text in zip(pdf[id_column], pdf[text_column]):
+                more = encode(text).split()
+                if len(more) < W:
+                    continue
+                ids.append(i)
+                words += more
+                sizes.append(len(more))
+                if len(words) > CHUNK:
+                    yield from rows(ids, words, sizes)
+                    ids, words, sizes = [], [], []
+        if ids:
+            yield from rows(ids, words, sizes)
 
     return scan
 
 
-WINDOWS = "id long, pos long, wh long, slots array<long>"
+WINDOWS = "id long, reading long, pos long, place long, wh long, slots array<long>"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, broadcast_windows: int = 2_000_000) -> DataFrame:
@@ -150,7 +191,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, bro
     items = scratch.put(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
         .mapInPandas(_scan("text", "item_id", None), WINDOWS)
-        .selectExpr("id as item_id", "pos as item_pos", "wh", "slots as item_slots")
+        .selectExpr("id as item_id", "pos as item_pos", "place as item_place", "wh", "slots as item_slots")
     )
     n = items.count()
     known = None
@@ -162,22 +203,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, bro
     found = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .mapInPandas(_scan("text", "doc_id", known), WINDOWS)
+        .drop("place")
         .withColumnRenamed("id", "doc_id")
     )
     lined = found.join(items_side, "wh").withColumn("shift", F.col("pos") - F.col("item_pos"))
     met = lined.select(
         "doc_id",
         "item_id",
+        "reading",
         "shift",
-        "item_pos",
+        "item_place",
         # element pairs (spot, spot), (value, value), ...: keep the values, with the kind of the spot
         F.expr(
             "transform(filter(sequence(0, size(slots)), i -> i % 2 = 1 and i < size(slots)), "
             "i -> struct(shiftright(slots[i - 1], 3) as kind, item_slots[i] as a, slots[i] as b))"
         ).alias("met"),
     )
-    runs = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")
+    runs = met.groupBy("doc_id", "item_id", "reading", "shift").agg(
+        F.collect_set("item_place").alias("at"), F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")
     )
     count = "size(array_distinct(transform(met, x -> struct(x.kind, x.{0}))))"
     fit = runs.where(f"{count.format('a')} = size(met) and {count.format('b')} = size(met)")
@@ -185,7 +228,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, bro
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("found_windows"),
         F.max(F.expr("exists(met, x -> x.a <> x.b)")).alias("reparameterised"),
     )
-    totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("item_windows"))
     return (
         leaks.join(F.broadcast(totals) if known is not None else totals, "item_id")
         .withColumn("coverage", F.col("found_windows") / F.col("item_windows"))

@@ -35,3 +35,36 @@ def test_empty_and_repeated(spark):
     assert find_leaks(docs.limit(0), items).count() == 0
     got = judge_documents(docs, items).collect()
     assert sorted(r.contaminated for r in got) == [False, True, True]
+
+
+NAMED = "Natalia sold 48 clips in April to friends. Natalia then sold half as many clips in May. How many clips did she sell in all of Paris with her friends?"
+ACRONYM = "The people of NASA asked McDonald how far 12 probes went past Mars and O'Brien said they went twice as far"
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_names_at_starts_of_other_length_and_inner_capitals(spark, bound):
+    other = NAMED.replace("Natalia", "Maria")
+    texts = {
+        1: NAMED,
+        2: "Intro here. " + other,
+        3: "Intro here. " + other.replace("Paris", "New York"),
+        4: "so " + NAMED.replace("Natalia", "Anna Lena").replace("How many", "how many"),
+        5: NAMED.replace("Natalia sold", "Maria sold").replace("Natalia then", "Peter then").replace("Paris", "Maria"),  # one name meets two
+        6: "Well. " + ACRONYM.replace("NASA", "ESA").replace("McDonald", "Smith").replace("O'Brien", "MacArthur"),
+        7: "A LONG LINE OF CAPITALS THAT IS NOT A NAME AT ALL BUT A HEADLINE SET IN CAPITALS OF A PAPER FROM LONG AGO",
+        8: " ".join(f"Word{chr(97 + k)}" for k in range(20)),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, NAMED), (2, ACRONYM), (3, "THE TRAIN FROM PARIS LEFT WITH SIXTY PEOPLE ON BOARD AND SOME OF THEM WERE ASLEEP"), (4, "Anna Bell Met Carl Dunn")], "item_id long, text string")
+    got = {r.doc_id: (r["items"], r.coverage, r.reparameterised) for r in judge_documents(docs, items, broadcast_windows=bound).collect()}
+    assert got[1] == ([1], 1.0, False)
+    assert [got[k][0] for k in (2, 3, 4, 6)] == [[1], [1], [1], [2]]
+    assert got[2][1:] == (1.0, True) and got[3][1:] == (1.0, True)
+    assert [1 in got[k][0] for k in (5, 7, 8)] == [False] * 3 and got[7][0] == []
+
+
+def test_texts_do_not_run_into_each_other(spark):
+    half = ITEM.split()
+    docs = spark.createDataFrame([(k, " ".join(half[k * 6 : k * 6 + 6])) for k in range(4)] + [(9, ITEM)], "doc_id long, text string").coalesce(1)
+    got = find_leaks(docs, spark.createDataFrame(ITEMS[:1], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.coverage, r.item_windows) for r in got] == [(9, 1.0, len(half) - 4)]
