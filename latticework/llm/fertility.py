@@ -1,8 +1,10 @@
 """Quality rules on tokeniser fertility.
 
-A public byte-level vocabulary measures each whole text: characters per token, the share of tokens that are pieces of
-a character (byte fallback), the share of tokens without letter or digit, and the entropy of its token ids relative to
-that of as many different tokens. Each
+Three public vocabularies measure each whole text in one pass. The byte-level one gives characters per token, the
+share of tokens that are pieces of a character, the share of tokens without letter or digit, and the entropy of its
+token ids relative to that of as many different tokens. It splits most non-Latin letters, so the byte-level one for many
+languages gives a share of pieces too, and the one with byte fallback its share of byte tokens: those of characters that
+it does not have, thus of rare symbols in any script. Each
 script, or language where ``language`` names a column, has a band for each measure; a text outside one is rejected.
 The base counts (words, symbols, repeated lines and word triples) come from the same pass, and a text that fails them
 is rejected whatever its fertility.
@@ -25,25 +27,38 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: First code points of blocks and the script each starts.
 BLOCKS = (
     (0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"),
-    (0x780, "other"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x1100, "hangul"), (0x1200, "other"),
-    (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"),
-    (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"),
-    (0x30000, "other"),
+    (0x780, "other"), (0x900, "indic"), (0xA00, "south"), (0xB80, "indic"), (0xC00, "south"), (0xE00, "thai"),
+    (0xE80, "other"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "symbols"),
+    (0x2C00, "other"), (0x3040, "kana"), (0x3100, "other"), (0x31F0, "kana"), (0x3200, "other"),
+    (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"),
+    (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0xFFF0, "symbols"), (0x10000, "other"), (0x1D000, "symbols"),
+    (0x1E000, "other"), (0x1F000, "symbols"), (0x20000, "han"), (0x30000, "other"),
 )
 STARTS = np.array([b for b, _ in BLOCKS], np.uint32)
 NAMES = [n for _, n in BLOCKS]
-#: (least, most) characters per token; most byte fallback share; most symbol share; least relative entropy.
+#: (least, most) characters per token; most byte share; most symbol share; least relative entropy; most byte share of
+#: the vocabulary for many languages; most byte fallback share. A share of 1.00 decides nothing: that vocabulary splits
+#: ordinary text of the script to the end, and the byte fallback decides. ``south`` (Gurmukhi to Malayalam and Sinhala,
+#: without Tamil) and the letters of ``other`` have few or no tokens in any of the three, so no share can decide there.
 BANDS = {
-    "latin": (1.3, 8.0, 0.30, 0.25, 0.40),
-    "greek": (0.7, 5.0, 0.70, 0.30, 0.40),
-    "cyrillic": (0.7, 5.0, 0.70, 0.30, 0.40),
-    "han": (0.3, 2.5, 1.00, 0.40, 0.35),
-    "kana": (0.3, 2.5, 1.00, 0.40, 0.35),
-    "other": (0.25, 6.0, 1.00, 0.50, 0.30),
+    "latin": (1.3, 8.0, 0.30, 0.25, 0.40, 0.30, 0.30),
+    "greek": (0.7, 5.0, 0.70, 0.30, 0.40, 0.50, 0.30),
+    "cyrillic": (0.7, 5.0, 0.70, 0.30, 0.40, 0.40, 0.30),
+    "hebrew": (0.4, 4.0, 0.95, 0.50, 0.30, 0.60, 0.40),
+    "arabic": (0.4, 4.0, 0.85, 0.50, 0.30, 0.50, 0.40),
+    "indic": (0.25, 4.0, 1.00, 0.50, 0.30, 1.00, 0.60),
+    "thai": (0.25, 4.0, 1.00, 0.50, 0.30, 0.60, 0.40),
+    "hangul": (0.25, 4.0, 1.00, 0.50, 0.30, 0.85, 0.50),
+    "han": (0.3, 2.5, 1.00, 0.40, 0.35, 0.70, 0.50),
+    "kana": (0.3, 2.5, 1.00, 0.40, 0.35, 0.70, 0.50),
+    "south": (0.25, 6.0, 1.00, 0.50, 0.30, 1.00, 1.00),
+    "symbols": (0.25, 6.0, 0.60, 0.50, 0.30, 0.60, 0.60),
+    "other": (0.25, 6.0, 1.00, 0.50, 0.30, 1.00, 1.00),
 }
 OUT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, symbol_share double, entropy double"
+    "base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, symbol_share double, entropy double, "
+    "multi_byte_share double, fallback_share double"
 )
 
 
@@ -96,7 +111,7 @@ def base_counts(text) -> tuple[int, int, int, int, int]:
 
 
 def measure(encoder, fragments: np.ndarray, symbols: np.ndarray, text) -> tuple[int, float, float, float, float]:
-    """n_tokens, characters per token, byte fallback share, symbol share, relative entropy."""
+    """n_tokens, characters per token, byte share, symbol share, relative entropy."""
     ids = tokens.ids_of(encoder, text)
     n = len(ids)
     if not n:
@@ -106,12 +121,26 @@ def measure(encoder, fragments: np.ndarray, symbols: np.ndarray, text) -> tuple[
     return n, len(text) / n, float(fragments[ids].mean()), float(symbols[ids].mean()), entropy / np.log(min(n, 2000)) if n > 1 else 0.0
 
 
+def byte_shares(multi, fragments: np.ndarray, pieces, is_byte: np.ndarray, text) -> tuple[float, float]:
+    """Byte shares by the vocabulary for many languages and by the one with byte fallback."""
+    ids = tokens.ids_of(multi, text)
+    if not len(ids):
+        return 0.0, 0.0
+    fallback = pieces.encode(encode(text), num_threads=1)
+    return float(fragments[ids].mean()), float(is_byte[fallback].mean()) if fallback else 0.0
+
+
 def judge(docs: DataFrame, bands: dict = BANDS, language: str | None = None, vocabulary: str | None = None) -> DataFrame:
-    """A row per document with base counts, measures and verdict. ``language``: a column whose values may name bands."""
+    """A row per document with base counts, measures and verdict. ``language``: a column whose values may name bands.
+
+    A band without the last two shares leaves them open.
+    """
 
     def run(batches):
         encoder = tokens.byte_bpe(vocabulary)
         fragments, symbols = tokens.token_kinds(vocabulary)
+        multi, multi_fragments = tokens.byte_bpe(tokens.multi_path()), tokens.token_kinds(tokens.multi_path())[0]
+        pieces, is_byte = tokens.piece_bpe()
         for pdf in batches:
             rows = []
             for doc, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
@@ -119,9 +148,11 @@ def judge(docs: DataFrame, bands: dict = BANDS, language: str | None = None, voc
                 failed = n_words < 50 or 100 * n_repeat > 50 * n_words
                 script = script_of(text) if n_words else "other"
                 n, per_token, share, signs, entropy = measure(encoder, fragments, symbols, text)
-                least, most, most_bytes, most_signs, least_entropy = bands.get(lang) or bands.get(script) or bands["other"]
+                multi_share, fallback = byte_shares(multi, multi_fragments, pieces, is_byte, text)
+                least, most, most_bytes, most_signs, least_entropy, *more = bands.get(lang) or bands.get(script) or bands["other"]
                 fits = least <= per_token <= most and share <= most_bytes and signs <= most_signs and entropy >= least_entropy
-                rows.append((doc, n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, not failed and fits, script, n, per_token, share, signs, entropy))
+                fits = fits and all(x <= top for x, top in zip((multi_share, fallback), more))
+                rows.append((doc, n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, not failed and fits, script, n, per_token, share, signs, entropy, multi_share, fallback))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 

@@ -1,4 +1,4 @@
-"""The public byte-level BPE vocabulary, loaded once in a Python worker."""
+"""The public vocabularies, loaded once in a Python worker."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 END = "<|endoftext|>"
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def byte_bpe(path: str | None = None):
     """Encoder for the ids of ``byte_bpe_50k.json``: ``path`` is its rank file; None: that of public_tokenizers."""
     import public_tokenizers
@@ -21,6 +21,23 @@ def byte_bpe(path: str | None = None):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: len(ranks)})
 
 
+def multi_path() -> str:
+    """Rank file of the byte-level vocabulary for many languages; ``byte_bpe`` and ``token_kinds`` take it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@lru_cache(maxsize=1)
+def piece_bpe():
+    """The vocabulary with byte fallback, and which of its ids are single bytes."""
+    import public_tokenizers
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces, np.array([pieces.is_byte(i) for i in range(pieces.vocab_size())])
+
+
 def ids_of(encoder, text) -> np.ndarray:
     """Token ids of a text (null: none); the end marker's own string is its id, as the json vocabulary reads it."""
     if not isinstance(text, str) or not text:
@@ -29,7 +46,7 @@ def ids_of(encoder, text) -> np.ndarray:
     return np.asarray(encoder.encode_to_numpy(text, allowed_special=special, disallowed_special=()), np.uint32)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def token_kinds(path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Which ids are pieces of a character only (bytes had to be used), and which have no letter, digit or such piece."""
     encoder = byte_bpe(path)

@@ -48,3 +48,38 @@ def test_verdicts(spark):
     for k, text in rows.items():
         assert (got[k].n_words, got[k].word_chars, got[k].n_symbols, got[k].n_dup_lines) == brute(text)[:4] if k != 7 else got[k].base_failed
     assert judge(df).count() == 9 and judge(df.limit(0)).count() == 0
+
+
+ORDINARY = {
+    "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء",
+    "hebrew": "כל בני אדם נולדו בני חורין ושווים בערכם ובזכויותיהם כולם חוננו בתבונה ובמצפון לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה",
+    "indic": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है",
+    "thai": "มนุษย์ ทั้งหลาย เกิดมา มีอิสระ และ เสมอภาคกัน ในเกียรติศักดิ์ และสิทธิ ต่างมี เหตุผล และมโนธรรม",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다 인간은 천부적으로 이성과 양심을 부여받았으며",
+    "han": "人人 生而自由 在尊严 和权利上 一律平等 他们 赋有 理性 和良心 并应 以兄弟关系 的精神 相对待",
+    "south": "બધા મનુષ્યો જન્મથી સ્વતંત્ર છે અને ગૌરવ તથા અધિકારોમાં સમાન છે તેમને બુદ્ધિ અને અંતઃકરણ મળેલાં છે",
+    "other": "ມະນຸດ ທຸກຄົນ ເກີດມາ ມີອິດສະຫຼະ ແລະ ສະເໝີພາບ ໃນທາງ ກຽດສັກສີ ແລະ ສິດທິ ທຸກໆຄົນ ມີເຫດຜົນ ແລະ ຈິດໃຈ",
+    "kana": "すべての 人間は 生まれながらにして 自由であり かつ 尊厳と 権利とに ついて 平等である",
+}
+RARE = {
+    "arabic": (0x750, 0x77E), "hebrew": (0x591, 0x5AF), "indic": (0x972, 0x97F), "thai": (0xE4F, 0xE5B), "hangul": (0xBDC1, 0xBDF0),
+    "han": (0x20000, 0x20100), "kana": (0x31F0, 0x31FF), "symbols": (0x2A00, 0x2AFF),
+}
+
+
+def shuffled(words, n=90):
+    """A text of n words in an order without repeated triples."""
+    rng = np.random.default_rng(3)
+    return " ".join(rng.choice(words, n))
+
+
+def test_rare_characters_fail_in_every_script(spark):
+    rows = [(1, k, shuffled(v.split())) for k, v in ORDINARY.items()]
+    rng = np.random.default_rng(4)
+    rare = {k: ["".join(map(chr, rng.integers(a, b, 5))) for _ in range(80)] for k, (a, b) in RARE.items()}
+    # among ordinary words of the script, so that its letters decide the band
+    rows += [(2, k, shuffled(v + ORDINARY.get(k, "").split()[:5])) for k, v in rare.items()]
+    got = judge(spark.createDataFrame(rows, "doc_id long, name string, text string"), language=None).collect()
+    for r, (kind, name, _) in zip(got, rows):
+        assert not r.base_failed, (name, kind)
+        assert r.kept == (kind == 1), (name, kind, r)
