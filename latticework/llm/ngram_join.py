@@ -285,7 +285,6 @@ class Groups:
         alive = hits.join(classes.select("fp", "n", "rep"), "fp").where("size(few) + size(many) >= greatest(1, n * 3 div 100)")
         alive = put(alive)
         drop(shared)
-        self.scratch.release()
         sets = put(_sets(self.docs, alive.select("fp", "rep"), self.words))
         # of the shingles that a pair must share, half are in small groups, or more than half in large ones
         pairs = self._sharing(alive.select("fp", "n", F.explode("few").alias("token")), "(need + 1) div 2")
@@ -307,7 +306,6 @@ class Groups:
             left = put(far.select("token", "fp", "n"))
             drop(members)
             drop(measured)
-        self.scratch.release()
         rest = self._sharing(left, "need div 2 + 1")
         links.append(put(self._linked(_measure(rest, sets))))
         out = links[0]
@@ -323,7 +321,6 @@ class Groups:
         some = rows.where("n > 0")
         classes = put(some.groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
         self.scratch.drop(rows)
-        self.scratch.release()
         links = self.links(classes.where("rep is not null"))
         roots = put(connected_components(links.selectExpr("x as u", "y as v"), self.scratch)).withColumnRenamed("node", "fp")
         named = put(roots.join(classes.select("fp", "rep"), "fp"))
