@@ -1,16 +1,21 @@
 """Language-model scoring with a Brown class bigram.
 
 ``p(text) = product of p(class | class before) * p(word | class)``, each text between end tokens. Counts of every word
-are gathered from all training texts. The ``frequent`` words by count are units of their own; every other word, seen
-or not, belongs to the unit of its ending (or that of words with digits, or a last one for all others). The exchange
-algorithm assigns units to classes: each in turn moves to the class that raises the likelihood of the class bigrams most,
-until nothing moves or for ``sweeps`` rounds. It needs unit bigram counts only, at most (frequent + endings + 2) squared numbers.
+are gathered from all training texts, and classes come from the exchange algorithm in two parts:
 
-Class transitions are interpolated with class frequencies (Witten-Bell). Emissions use absolute discounting with each
-class's own discount, and what it frees is the probability of the class's one unknown word, so that probabilities of
-all known words and the unknown ones add up to one.
+1. The seed: the ``frequent`` words by count are units of their own; every other word, seen or not, belongs to the unit
+   of its ending (or that of words with digits, or a last one for all others). Units in turn move to the class that
+   raises the likelihood of the class bigrams most, until nothing moves or for ``sweeps`` rounds. It needs unit bigram counts only,
+   at most (frequent + endings + 2) squared numbers.
+2. Every other word seen twice or more takes one exchange step of its own: how often each class comes before and
+   after it is counted by word in the cluster, and the word moves to its class of greatest gain. Words seen once
+   stay with their ending: one context says less about them (moving them too lowers the held-out likelihood).
 
-Counts of the ``broadcast_words`` most frequent words travel with the code; those of all others are joined by word.
+Class transitions, counted with the final classes, are interpolated with class frequencies (Witten-Bell). Emissions use
+absolute discounting with each class's own discount, and what it frees is the probability of the class's one unknown
+word, so that probabilities of all known words and the unknown ones add up to one.
+
+Counts and classes of the ``broadcast_words`` most frequent words travel with the code; those of all others are joined by word.
 Defined cases: null or empty text is the end token alone; without training text every word is unknown; rows that
 share an id are scored each; a null id is in no fold, thus trained on; extra columns are ignored; an empty table
 gives an empty result.
@@ -22,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +40,8 @@ END = b" "
 PUNCTUATION = b".,;:!?\"')("
 DIGITS = frozenset(b"0123456789")
 FLUSH = 500_000
+#: Mark of a word in a class sequence whose class is joined later; classes are numbered below it.
+AWAY = 255
 
 
 def words_of(text) -> list[bytes]:
@@ -166,29 +174,109 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return member
 
 
-class Model:
-    """Transitions and emissions, as log10 probabilities."""
+def count_contexts(docs: DataFrame, lexicon, member: np.ndarray, classes: int) -> DataFrame:
+    """``(at, word, contexts)`` of words that aren't units of their own: how often which classes stand around each.
+
+    at: index among the words sent along; -1 with ``word``. A context is n, class before and class after in one number.
+    """
+    pairs = classes * classes
 
-    def __init__(self, bigrams: np.ndarray, member: np.ndarray, classes: int):
-        hot = np.eye(classes)[member]
-        m = hot.T @ bigrams @ hot
-        before, kinds = m.sum(1, keepdims=True), (m > 0).sum(1, keepdims=True)
-        share = (m.sum(0) + 1) / (m.sum() + classes)
-        self.transition = np.log10((m + np.maximum(kinds, 1) * share) / (before + np.maximum(kinds, 1)))
-        self.member, self.classes = member, classes
+    def run(batches):
+        lex, memo = lexicon.value.ready(), {}
+        own = min(lex.frequent, len(lex.words))
+        for batch in batches:
+            known, rare, rare_code = [], [], []
+            for text in batch.column("text").to_pylist():
+                at, unit, away = lex.read(words_of(text), memo)
+                cls = member[unit]
+                code = np.concatenate([cls[-1:], cls[:-1]]) * classes + np.concatenate([cls[1:], cls[:1]])
+                here = at >= own
+                known.append(at[here] * pairs + code[here])
+                rare += away
+                rare_code.append(code[at < 0])
+            names: dict[bytes, int] = {}
+            index = np.fromiter([names.setdefault(w, len(names)) for w in rare], np.int64, len(rare))
+            for first, keys in ((0, known), (-1, [index * pairs + np.concatenate(rare_code)] if rare else [])):
+                if not keys:
+                    continue
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                who = key // pairs
+                word = pa.nulls(len(key), pa.binary()) if first == 0 else pa.array(list(names), pa.binary()).take(pa.array(who))
+                at = who if first == 0 else np.full(len(key), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), word, pa.array((key % pairs).astype(np.int32)), pa.array(n)], names=["at", "word", "code", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "at int, word binary, code int, n long")
+    summed = rows.groupBy("at", "word", "code").agg(F.sum("n").alias("n"))
+    return summed.groupBy("at", "word").agg(F.collect_list(F.col("n") * pairs + F.col("code")).alias("contexts"))
+
+
+def best_classes(contexts: DataFrame, lexicon, member: np.ndarray, seed: np.ndarray) -> DataFrame:
+    """``(at, word, cls)``: the class of greatest gain for each word with two contexts or more.
+
+    ``seed[a, b]`` counts class b after class a. All words move at once, each against the seed.
+    """
+    k = len(seed)
+    forth, back = seed.astype(np.float64), np.ascontiguousarray(seed.T, np.float64)
+
+    def side(m, own, word, n_words, cls, n):
+        """What joining each class gains a word, from its neighbours of one side."""
+        old = m[:, cls].T
+        gain = (_xlogx(old + n[:, None]) - _xlogx(old)).astype(np.float32)
+        rows, mine = np.arange(len(n)), own[word]
+        now = m[mine, cls]
+        gain[rows, mine] = _xlogx(now) - _xlogx(np.maximum(now - n, 0))
+        start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        gain, total, sums = np.add.reduceat(gain, start), np.add.reduceat(n, start), m.sum(1)
+        whole = _xlogx(sums + total[:, None]) - _xlogx(sums)
+        whole[np.arange(n_words), own] = _xlogx(sums[own]) - _xlogx(np.maximum(sums[own] - total, 0))
+        return gain - whole
 
-    def emissions(self, stats: dict[int, tuple[int, int, int, int]]) -> "Model":
-        """``stats[class]``: words, their tokens, words seen once, words seen twice."""
-        self.discount, self.log_total, self.unknown = np.full(self.classes, 0.5), np.zeros(self.classes), np.zeros(self.classes)
+    def run(batches):
+        lex = lexicon.value.ready()
+        for batch in batches:
+            lists, sizes = batch.column("contexts"), []
+            flat = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            word = np.repeat(np.arange(len(sizes)), sizes)
+            n, code = flat // (k * k), flat % (k * k)
+            often = np.bincount(word, n, len(sizes)) >= 2
+            at, names = batch.column("at").to_numpy(), batch.column("word").to_pylist()
+            own = np.array([member[lex.unit[a] if a >= 0 else lex.unit_of(w)] for a, w in zip(at.tolist(), names)], np.int64)
+            out = own.copy()
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            for a in range(0, len(sizes), 2048):
+                z = min(a + 2048, len(sizes))
+                part = slice(edges[a], edges[z])
+                args = own[a:z], word[part] - a, z - a
+                gain = side(forth, *args, code[part] % k, n[part].astype(np.float64)) + side(back, *args, code[part] // k, n[part].astype(np.float64))
+                best, rows = gain.argmax(1), np.arange(z - a)
+                out[a:z] = np.where(often[a:z] & (gain[rows, best] > gain[rows, own[a:z]] + 1e-3), best, own[a:z])
+            moved = np.flatnonzero(out != own)
+            yield pa.RecordBatch.from_arrays([pa.array(at[moved], pa.int32()), batch.column("word").take(pa.array(moved)), pa.array(out[moved].astype(np.int32))], names=["at", "word", "cls"])
+
+    return contexts.mapInArrow(run, "at int, word binary, cls int")
+
+
+def transitions(m: np.ndarray) -> np.ndarray:
+    """log10 p(class b | class a) from counts ``m[a, b]``."""
+    before, kinds = m.sum(1, keepdims=True), np.maximum((m > 0).sum(1, keepdims=True), 1)
+    share = (m.sum(0) + 1) / (m.sum() + len(m))
+    return np.log10((m + kinds * share) / (before + kinds))
+
+
+class Emissions:
+    """log10 p(word | class), in parts: ``stats[class]`` has words, their tokens, words seen once, words seen twice."""
+
+    def __init__(self, classes: int, stats: dict):
+        self.discount, self.log_total, self.unknown = np.full(classes, 0.5), np.zeros(classes), np.zeros(classes)
         for k, (words, tokens, once, twice) in stats.items():
             d = self.discount[k] = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
             self.log_total[k] = np.log10(tokens)
             self.unknown[k] = np.log10(d * words / tokens)
-        return self
 
 
 def train(docs: DataFrame, scratch: Scratch, frequent: int, endings: int, classes: int, broadcast_words: int, sweeps: int):
-    """``(vocabulary table, N, V, broadcast lexicon, model)``."""
+    """``(rare words with count and class, N, V, broadcast lexicon, classes of its words, classes of units, class sizes)``."""
     sc = docs.sparkSession.sparkContext
     vocabulary = scratch.put(count_words(docs))
     size = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -203,53 +291,62 @@ def train(docs: DataFrame, scratch: Scratch, frequent: int, endings: int, classe
     ends = vocabulary.mapInPandas(by_ending, "ending binary, c long").groupBy("ending").agg(F.sum("c").alias("c"))
     ends = [bytes(r["ending"]) for r in ends.orderBy(F.desc("c"), "ending").limit(endings).collect()]
     lexicon = sc.broadcast(Lexicon(words, counts, frequent, ends))
-    lex = Lexicon(words[:frequent], counts[:frequent], frequent, ends).ready()
+    lex = Lexicon(words, counts, frequent, ends).ready()
 
     pairs = scratch.put(count_bigrams(docs, lexicon)).toArrow()
     bigrams = np.zeros(lex.units * lex.units, np.float32)
     bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     bigrams = bigrams.reshape(lex.units, lex.units)
     member = exchange(bigrams, classes, sweeps)
-    model = Model(bigrams.astype(np.float64), member, classes)
+    hot = np.eye(classes)[member]
+    moved = scratch.put(best_classes(count_contexts(docs, lexicon, member, classes), lexicon, member, hot.T @ bigrams @ hot))
 
-    def by_class(batches):
+    cls = member[lex.unit] if len(lex.unit) else np.empty(0, np.int64)
+    sent = moved.where("at >= 0").select("at", "cls").toArrow()
+    cls[sent["at"].to_numpy()] = sent["cls"].to_numpy()
+
+    def rare_words(batches):
         lex = lexicon.value.ready()
         for pdf in batches:
-            at = [lex.index.get(bytes(w), -1) for w in pdf["word"]]
-            unit = [lex.unit[k] if k >= 0 else lex.unit_of(bytes(w)) for k, w in zip(at, pdf["word"])]
-            c = pdf["c"]
-            part = pd.DataFrame({"cls": member[np.array(unit, np.int64)], "words": 1, "tokens": c, "once": (c == 1).astype(int), "twice": (c == 2).astype(int)})
-            yield part.groupby("cls", as_index=False).sum()
+            pdf = pdf[[bytes(w) not in lex.index for w in pdf["word"]]]
+            yield pdf.assign(own=[int(member[lex.unit_of(bytes(w))]) for w in pdf["word"]])
 
-    stats = vocabulary.mapInPandas(by_class, "cls long, words long, tokens long, once long, twice long").groupBy("cls")
-    stats = stats.agg(*[F.sum(c).alias(c) for c in ("words", "tokens", "once", "twice")]).collect()
-    model.emissions({r["cls"]: tuple(r)[1:] for r in stats})
-    return vocabulary, size["n"] or 0, size["v"], lexicon, model
+    step = moved.where("at < 0").select(F.col("word").alias("_word"), "cls")
+    rare = vocabulary.mapInPandas(rare_words, "word binary, c long, own int")
+    rare = scratch.put(rare.join(step, F.col("word") == F.col("_word"), "left").select("word", "c", F.coalesce("cls", "own").alias("cls")))
+    stats = rare.groupBy("cls").agg(F.count("*").alias("words"), F.sum("c").alias("tokens"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"))
+    stats = {r["cls"]: np.array(tuple(r)[1:], np.int64) for r in stats.collect()}
+    for k in np.unique(cls).tolist():
+        c = counts[cls == k]
+        stats[k] = stats.get(k, 0) + np.array([len(c), c.sum(), (c == 1).sum(), (c == 2).sum()])
+    scratch.drop(vocabulary)
+    scratch.drop(moved)
+    return rare, size["n"] or 0, size["v"], lexicon, cls, member, stats
 
 
-READ = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<int>, cls array<int>"
+READ = "uid long, doc_id long, held_out boolean, seq binary, known long, base double, emission double, rare array<binary>, slots array<int>, own array<int>"
+DONE = "doc_id long, held_out boolean, seq binary, known long, base double, emission double"
 
 
-def _read(docs: DataFrame, lexicon, model: Model, n: int, v: int) -> DataFrame:
-    """What each text scores without the words whose counts weren't sent along, and those words with their classes."""
+def _read(docs: DataFrame, lexicon, cls: np.ndarray, member: np.ndarray, out_of: Emissions, n: int, v: int) -> DataFrame:
+    """Each text's classes and sums over the words sent along; ``rare``: its other words, ``slots``: which of them where."""
 
     def run(batches):
         lex, memo = lexicon.value.ready(), {}
         uid = TaskContext.get().partitionId() << 40
-        cls_of = model.member[lex.unit] if len(lex.unit) else np.empty(0, np.int64)
         base_of = np.log10((lex.counts + 1) / (n + v + 1))
-        emit = np.log10(np.maximum(lex.counts - model.discount[cls_of], 1e-9)) - model.log_total[cls_of]
+        emit = np.log10(np.maximum(lex.counts - out_of.discount[cls], 1e-9)) - out_of.log_total[cls]
         for pdf in batches:
             out = []
             for doc, held, text in zip(pdf["doc_id"], pdf["held_out"], pdf["text"]):
-                words = words_of(text)
-                at, unit, rare = lex.read(words, memo)
-                cls = model.member[unit]
-                score = model.transition[np.concatenate([cls[-1:], cls[:-1]]), cls].sum()
+                at, _, away = lex.read(words_of(text), memo)
                 here = at[at >= 0]
-                counts = Counter(rare)
-                kinds = [int(model.member[memo[w]]) for w in counts]
-                out.append((uid, doc, held, len(words), len(here), base_of[here].sum(), score + emit[here].sum(), list(counts), list(counts.values()), kinds))
+                seq = np.full(len(at), AWAY, np.uint8)
+                seq[at >= 0] = cls[here]
+                names: dict[bytes, int] = {}
+                slots = [names.setdefault(w, len(names)) for w in away]
+                own = [int(member[memo[w]]) for w in names]
+                out.append((uid, doc, held, seq.tobytes(), len(here), base_of[here].sum(), emit[here].sum(), list(names), slots, own))
                 uid += 1
             out = pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
@@ -257,35 +354,80 @@ def _read(docs: DataFrame, lexicon, model: Model, n: int, v: int) -> DataFrame:
     return docs.mapInPandas(run, READ)
 
 
+def _complete(read: DataFrame, rare: DataFrame, out_of: Emissions, n: int, v: int) -> DataFrame:
+    """The texts with counts and classes of their rare words joined in."""
+    words = read.where("size(rare) > 0").select("uid", F.posexplode("rare").alias("k", "_rare"), "own").select("uid", "k", "_rare", F.col("own")[F.col("k")].alias("own"))
+    found = words.join(rare, F.col("_rare") == F.col("word"), "left")
+    slot = F.struct("k", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("cls", "own").alias("cls"))
+    found = found.groupBy("uid").agg(F.array_sort(F.collect_list(slot)).alias("w")).select("uid", F.col("w.c").alias("c"), F.col("w.cls").alias("cls"))
+
+    def run(batches):
+        for pdf in batches:
+            seqs, known, base, emission = [], pdf["known"].to_numpy().copy(), pdf["base"].to_numpy().copy(), pdf["emission"].to_numpy().copy()
+            for i, (seq, slots, c, cls) in enumerate(zip(pdf["seq"], pdf["slots"], pdf["c"], pdf["cls"])):
+                if len(slots):
+                    c, kind, slots = np.asarray(c, np.int64), np.asarray(cls, np.int64), np.asarray(slots)
+                    log = np.where(c > 0, np.log10(np.maximum(c - out_of.discount[kind], 1e-9)) - out_of.log_total[kind], out_of.unknown[kind])
+                    seq = np.frombuffer(seq, np.uint8).copy()
+                    seq[seq == AWAY] = kind[slots]
+                    seq = seq.tobytes()
+                    known[i] += int((c > 0)[slots].sum())
+                    base[i] += np.log10((c + 1) / (n + v + 1))[slots].sum()
+                    emission[i] += log[slots].sum()
+                seqs.append(seq)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "seq": seqs, "known": known, "base": base, "emission": emission})
+
+    both = read.drop("rare", "own").join(found, "uid", "left")
+    return both.select("doc_id", "held_out", "seq", "known", "base", "emission", "slots", "c", "cls").mapInPandas(run, DONE)
+
+
+def _pairs(seq: bytes, classes: int) -> np.ndarray:
+    """Class before and class of each token, in one number."""
+    cls = np.frombuffer(seq, np.uint8).astype(np.int64)
+    return np.concatenate([cls[-1:], cls[:-1]]) * classes + cls
+
+
+def class_bigrams(done: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class b after class a over the training texts."""
+
+    def run(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for pdf in batches:
+            for seq in pdf["seq"]:
+                total += np.bincount(_pairs(seq, classes), minlength=classes * classes)
+        yield pd.DataFrame({"pair": np.flatnonzero(total), "n": total[total > 0]})
+
+    found = done.where("not held_out").select("seq").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    m = np.zeros(classes * classes)
+    m[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return m.reshape(classes, classes)
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
 def score_documents(
     docs: DataFrame, parts: int = 7, held: int = 2, frequent: int = 2000, endings: int = 500, classes: int = 64, broadcast_words: int = 300_000, sweeps: int = 8
 ) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``."""
+    if not 1 <= classes < AWAY:
+        raise ValueError(f"classes must be from 1 to {AWAY - 1}")
     scratch = Scratch(docs.sparkSession)
     held_out = F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    vocabulary, n, v, lexicon, model = train(docs.where("not held_out"), scratch, frequent, endings, classes, broadcast_words, sweeps)
-    read = scratch.put(_read(docs, lexicon, model, n, v))
-
-    def number(values):
-        return F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("w.cls") + 1)
-
-    rare = read.where("size(rare) > 0").select("uid", F.explode(F.arrays_zip("rare", "times", "cls")).alias("w"))
-    rare = rare.join(vocabulary.select(F.col("word").alias("_word"), "c"), F.col("w.rare") == F.col("_word"), "left")
-    emission = F.when(F.col("c") > 0, F.log10(F.col("c") - number(model.discount)) - number(model.log_total)).otherwise(number(model.unknown))
-    base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
-    rest = rare.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("w.times")).otherwise(0)).alias("known2"),
-        F.sum(F.col("w.times") * base).alias("base2"),
-        F.sum(F.col("w.times") * emission).alias("score2"),
-    )
-    zero = F.lit(0.0)
-    return read.drop("rare", "times", "cls").join(rest, "uid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("score2", zero)).alias("score"),
-    )
+    rare, n, v, lexicon, cls, member, stats = train(docs.where("not held_out"), scratch, frequent, endings, classes, broadcast_words, sweeps)
+    out_of = Emissions(classes, stats)
+    read = scratch.put(_read(docs, lexicon, cls, member, out_of, n, v))
+    done = scratch.put(_complete(read, rare, out_of, n, v))
+    scratch.drop(read)
+    scratch.drop(rare)
+    transition = transitions(class_bigrams(done, classes)).ravel()
+
+    def run(batches):
+        for pdf in batches:
+            moves = np.array([transition[_pairs(seq, classes)].sum() for seq in pdf["seq"]], np.float64)
+            size = np.array([len(seq) for seq in pdf["seq"]], np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "n_tokens": size, "n_known": pdf["known"], "base_score": pdf["base"], "score": pdf["emission"] + moves})
+
+    scored = done.mapInPandas(run, RESULT)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
