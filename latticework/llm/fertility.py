@@ -1,16 +1,18 @@
 """Quality rules on tokeniser fertility.
 
-Three public vocabularies measure each whole text in one pass. The byte-level one gives characters per token, the
-share of tokens that are pieces of a character, the share of tokens without letter or digit, and the entropy of its
-token ids relative to that of as many different tokens. It splits most non-Latin letters, so the byte-level one for many
-languages gives a share of pieces too, and the one with byte fallback its share of byte tokens: those of characters that
-it does not have, thus of rare symbols in any script. Each
-script, or language where ``language`` names a column, has a band for each measure; a text outside one is rejected.
-The base counts (words, symbols, repeated lines and word triples) come from the same pass, and a text that fails them
-is rejected whatever its fertility.
+Three public vocabularies measure each whole text in one pass: a byte-level one, one of the same kind for many
+languages, and one with byte fallback. Each gives characters per token and the share of tokens that are bytes or
+pieces of a character; the first also gives the entropy of its token ids, relative to that of as many different tokens.
+
+Rejection bands are fitted for each language (values of the column ``language``) or, where that is null, script: over
+all documents that pass the base rules, a measure may be some times (``WIDTH``) as far from the median as the quartile
+on that side, and always as far as a slack. Quartiles stay put while less than a quarter of a language is junk. Groups of fewer than ``least`` documents have the fixed band of their
+script instead. The base counts (words, symbols, repeated lines and word triples) come from the same pass, and a
+text that fails them is rejected whatever its fertility.
 
 Defined cases: null or empty text has no words, measures 0 and fails; a script without a band of its own takes that
-of ``other``; ids may repeat or be null; extra columns are ignored; an empty table gives an empty result.
+of ``other``; if most documents of a language are junk, its band is that of junk; ids may repeat or be null; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from latticework.llm import tokens
 from latticework.llm.common import encode
+from latticework.storage import Scratch
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: First code points of blocks and the script each starts.
@@ -36,29 +39,38 @@ BLOCKS = (
 )
 STARTS = np.array([b for b, _ in BLOCKS], np.uint32)
 NAMES = [n for _, n in BLOCKS]
-#: (least, most) characters per token; most byte share; most symbol share; least relative entropy; most byte share of
-#: the vocabulary for many languages; most byte fallback share. A share of 1.00 decides nothing: that vocabulary splits
-#: ordinary text of the script to the end, and the byte fallback decides. ``south`` (Gurmukhi to Malayalam and Sinhala,
-#: without Tamil) and the letters of ``other`` have few or no tokens in any of the three, so no share can decide there.
+#: Fixed values, for groups too small to fit: (least, most) characters per token, most byte share and least relative entropy
+#: by the first vocabulary, most byte share of the one for many languages, most byte fallback share. A share of 1.00 decides
+#: nothing: that vocabulary splits ordinary text of the script to the end, and the byte fallback decides. ``south``
+#: (Gurmukhi to Malayalam and Sinhala, without Tamil) and the letters of ``other`` have few or no tokens in any of the three.
 BANDS = {
-    "latin": (1.3, 8.0, 0.30, 0.25, 0.40, 0.30, 0.30),
-    "greek": (0.7, 5.0, 0.70, 0.30, 0.40, 0.50, 0.30),
-    "cyrillic": (0.7, 5.0, 0.70, 0.30, 0.40, 0.40, 0.30),
-    "hebrew": (0.4, 4.0, 0.95, 0.50, 0.30, 0.60, 0.40),
-    "arabic": (0.4, 4.0, 0.85, 0.50, 0.30, 0.50, 0.40),
-    "indic": (0.25, 4.0, 1.00, 0.50, 0.30, 1.00, 0.60),
-    "thai": (0.25, 4.0, 1.00, 0.50, 0.30, 0.60, 0.40),
-    "hangul": (0.25, 4.0, 1.00, 0.50, 0.30, 0.85, 0.50),
-    "han": (0.3, 2.5, 1.00, 0.40, 0.35, 0.70, 0.50),
-    "kana": (0.3, 2.5, 1.00, 0.40, 0.35, 0.70, 0.50),
-    "south": (0.25, 6.0, 1.00, 0.50, 0.30, 1.00, 1.00),
-    "symbols": (0.25, 6.0, 0.60, 0.50, 0.30, 0.60, 0.60),
-    "other": (0.25, 6.0, 1.00, 0.50, 0.30, 1.00, 1.00),
+    "latin": (1.3, 8.0, 0.30, 0.40, 0.30, 0.30),
+    "greek": (0.7, 5.0, 0.70, 0.40, 0.50, 0.30),
+    "cyrillic": (0.7, 5.0, 0.70, 0.40, 0.40, 0.30),
+    "hebrew": (0.4, 4.0, 0.95, 0.30, 0.60, 0.40),
+    "arabic": (0.4, 4.0, 0.85, 0.30, 0.50, 0.40),
+    "indic": (0.25, 4.0, 1.00, 0.30, 1.00, 0.60),
+    "thai": (0.25, 4.0, 1.00, 0.30, 0.60, 0.40),
+    "hangul": (0.25, 4.0, 1.00, 0.30, 0.85, 0.50),
+    "han": (0.3, 2.5, 1.00, 0.35, 0.70, 0.50),
+    "kana": (0.3, 2.5, 1.00, 0.35, 0.70, 0.50),
+    "south": (0.25, 6.0, 1.00, 0.30, 1.00, 1.00),
+    "symbols": (0.25, 6.0, 0.60, 0.30, 0.60, 0.60),
+    "other": (0.25, 6.0, 1.00, 0.30, 1.00, 1.00),
 }
+#: Measures by what they measure, in the order in which a rejection is put down to one.
+PER_TOKEN = ("chars_per_token", "multi_chars_per_token", "piece_chars_per_token")
+SHARES = ("byte_share", "multi_byte_share", "fallback_share")
+MEASURES = (*PER_TOKEN, *SHARES, "entropy")
+#: How far a fitted band reaches: times the distance from the median to the quartile (of entropy, whose quartiles lie far
+#: apart: fewer times), and at least so far: a part of the median for characters per token, else as it is.
+WIDTH, ENTROPY_WIDTH = 12.0, 4.0
+SLACK, SHARE_SLACK, ENTROPY_SLACK = 0.20, 0.10, 0.15
+#: So many fitted groups are sent to all executors; beyond it their bands are joined by shuffle.
+GROUPS = 10_000
 OUT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, symbol_share double, entropy double, "
-    "multi_byte_share double, fallback_share double"
+    "base_failed boolean, script string, band string, n_tokens long, " + ", ".join(f"{m} double" for m in MEASURES)
 )
 
 
@@ -110,51 +122,90 @@ def base_counts(text) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
-def measure(encoder, fragments: np.ndarray, symbols: np.ndarray, text) -> tuple[int, float, float, float, float]:
-    """n_tokens, characters per token, byte share, symbol share, relative entropy."""
-    ids = tokens.ids_of(encoder, text)
+def entropy_of(ids: np.ndarray) -> float:
+    """Of the ids of a text, relative to that of as many different ones (2,000 at most)."""
     n = len(ids)
-    if not n:
-        return 0, 0.0, 0.0, 0.0, 0.0
+    if n < 2:
+        return 0.0
     counts = np.diff(np.flatnonzero(np.concatenate([[True], np.diff(np.sort(ids)) != 0, [True]])))
-    entropy = float(np.log(n) - (counts * np.log(counts)).sum() / n)
-    return n, len(text) / n, float(fragments[ids].mean()), float(symbols[ids].mean()), entropy / np.log(min(n, 2000)) if n > 1 else 0.0
+    return float((np.log(n) - (counts * np.log(counts)).sum() / n) / np.log(min(n, 2000)))
+
 
+class Measures:
+    """The vocabularies of a task."""
 
-def byte_shares(multi, fragments: np.ndarray, pieces, is_byte: np.ndarray, text) -> tuple[float, float]:
-    """Byte shares by the vocabulary for many languages and by the one with byte fallback."""
-    ids = tokens.ids_of(multi, text)
-    if not len(ids):
-        return 0.0, 0.0
-    fallback = pieces.encode(encode(text), num_threads=1)
-    return float(fragments[ids].mean()), float(is_byte[fallback].mean()) if fallback else 0.0
+    def __init__(self, vocabulary: str | None = None):
+        multi = tokens.multi_path()
+        self.bpe, self.bpe_bytes = tokens.byte_bpe(vocabulary), tokens.token_kinds(vocabulary)
+        self.multi, self.multi_bytes = tokens.byte_bpe(multi), tokens.token_kinds(multi)
+        self.pieces, self.piece_bytes = tokens.piece_bpe()
 
+    def __call__(self, text) -> tuple:
+        """n_tokens, then ``MEASURES``; all 0 without a token."""
+        found = [(ids := tokens.ids_of(self.bpe, text), self.bpe_bytes), (tokens.ids_of(self.multi, text), self.multi_bytes)]
+        if not len(ids):
+            return 0, *[0.0] * len(MEASURES)
+        found.append((np.asarray(self.pieces.encode(encode(text), num_threads=1), np.int64), self.piece_bytes))
+        rates = [len(text) / max(len(i), 1) for i, _ in found]
+        return len(ids), *rates, *[float(is_byte[i].mean()) if len(i) else 0.0 for i, is_byte in found], entropy_of(ids)
 
-def judge(docs: DataFrame, bands: dict = BANDS, language: str | None = None, vocabulary: str | None = None) -> DataFrame:
-    """A row per document with base counts, measures and verdict. ``language``: a column whose values may name bands.
 
-    A band without the last two shares leaves them open.
-    """
+def measured(docs: DataFrame, language: str | None = None, vocabulary: str | None = None) -> DataFrame:
+    """A row per document with base counts, ``MEASURES`` and the name of its band."""
 
     def run(batches):
-        encoder = tokens.byte_bpe(vocabulary)
-        fragments, symbols = tokens.token_kinds(vocabulary)
-        multi, multi_fragments = tokens.byte_bpe(tokens.multi_path()), tokens.token_kinds(tokens.multi_path())[0]
-        pieces, is_byte = tokens.piece_bpe()
+        measure = Measures(vocabulary)
         for pdf in batches:
             rows = []
             for doc, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
-                n_words, word_chars, n_symbols, n_dup_lines, n_repeat = base_counts(text)
-                failed = n_words < 50 or 100 * n_repeat > 50 * n_words
+                counts = base_counts(text)
+                n_words, n_repeat = counts[0], counts[-1]
                 script = script_of(text) if n_words else "other"
-                n, per_token, share, signs, entropy = measure(encoder, fragments, symbols, text)
-                multi_share, fallback = byte_shares(multi, multi_fragments, pieces, is_byte, text)
-                least, most, most_bytes, most_signs, least_entropy, *more = bands.get(lang) or bands.get(script) or bands["other"]
-                fits = least <= per_token <= most and share <= most_bytes and signs <= most_signs and entropy >= least_entropy
-                fits = fits and all(x <= top for x, top in zip((multi_share, fallback), more))
-                rows.append((doc, n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, not failed and fits, script, n, per_token, share, signs, entropy, multi_share, fallback))
+                rows.append((doc, *counts, n_words < 50 or 100 * n_repeat > 50 * n_words, script, lang if isinstance(lang, str) else f"script {script}", *measure(text)))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    lang = F.col(language) if language else F.lit(None).cast("string")
+    lang = F.col(language).cast("string") if language else F.lit(None).cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).mapInPandas(run, OUT)
+
+
+def fit_bands(measures: DataFrame, least: int = 100) -> DataFrame:
+    """``(band, low_<measure>, high_<measure>)`` of groups with ``least`` documents that pass the base rules, from all of them."""
+    quantiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in MEASURES]
+    found = measures.where("not base_failed").groupBy("band").agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= least)
+    out = []
+    for m in MEASURES:
+        low, mid, high = (F.col(m)[k] for k in range(3))
+        slack = SLACK * mid if m in PER_TOKEN else F.lit(SHARE_SLACK if m in SHARES else ENTROPY_SLACK)
+        width = ENTROPY_WIDTH if m == "entropy" else WIDTH
+        out.append((mid - F.greatest(width * (mid - low), slack)).alias(f"low_{m}"))
+        out.append((mid + F.greatest(width * (high - mid), slack)).alias(f"high_{m}"))
+    return found.select("band", *out)
+
+
+def judge(docs: DataFrame, language: str | None = None, least: int = 100, vocabulary: str | None = None) -> DataFrame:
+    """A row per document with base counts, measures, ``kept`` and ``rejected_by`` (``base``, or the first measure outside its band)."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put(measured(docs, language, vocabulary))
+    bands = scratch.put(fit_bands(rows, least))
+    joined = rows.join(F.broadcast(bands) if bands.count() <= GROUPS else bands, "band", "left")
+
+    def fixed(k: int):
+        found = F.lit(BANDS["other"][k])
+        for script, band in BANDS.items():
+            found = F.when(F.col("script") == script, band[k]).otherwise(found)
+        return found
+
+    lows = {"chars_per_token": fixed(0), "entropy": fixed(3)}
+    highs = {"chars_per_token": fixed(1), "byte_share": fixed(2), "multi_byte_share": fixed(4), "fallback_share": fixed(5)}
+    fitted, verdict = F.col("low_entropy").isNotNull(), F.lit(None).cast("string")
+    for m in reversed(MEASURES):
+        outside = F.lit(False)
+        if m not in SHARES:  # few bytes are no fault
+            outside = outside | (F.col(m) < F.when(fitted, F.col(f"low_{m}")).otherwise(lows.get(m, F.lit(float("-inf")))))
+        if m != "entropy":  # nor is a rich vocabulary
+            outside = outside | (F.col(m) > F.when(fitted, F.col(f"high_{m}")).otherwise(highs.get(m, F.lit(float("inf")))))
+        verdict = F.when(outside, m).otherwise(verdict)
+    out = joined.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(verdict))
+    names = [c.split()[0] for c in OUT.split(", ")]
+    return out.select(*names[:7], F.col("rejected_by").isNull().alias("kept"), "rejected_by", *names[7:])

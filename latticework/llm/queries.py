@@ -31,7 +31,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.judge(table(spark, sf_dir, "documents"))
+    return fertility.judge(table(spark, sf_dir, "documents"), language="lang")
 
 
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,14 +47,13 @@ def ids_of(encoder, text) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def token_kinds(path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which ids are pieces of a character only (bytes had to be used), and which have no letter, digit or such piece."""
+def token_kinds(path: str | None = None) -> np.ndarray:
+    """Which ids are pieces of a character only: bytes had to be used."""
     encoder = byte_bpe(path)
-    pieces, symbols = np.zeros(encoder.n_vocab, bool), np.zeros(encoder.n_vocab, bool)
+    pieces = np.zeros(encoder.n_vocab, bool)
     for i in range(encoder.n_vocab - 1):
         try:
-            token = encoder.decode_single_token_bytes(i).decode("utf-8")
-            symbols[i] = not any(map(str.isalnum, token)) and not token.isspace()
+            encoder.decode_single_token_bytes(i).decode("utf-8")
         except UnicodeDecodeError:
             pieces[i] = True
-    return pieces, symbols
+    return pieces

@@ -1,11 +1,15 @@
+import math
 import re
+from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from latticework.llm.fertility import base_counts, judge, repeated_words, script_of
+from latticework.llm import tokens
+from latticework.llm.fertility import MEASURES, PER_TOKEN, SHARES, Measures, base_counts, judge, repeated_words, script_of
 
 pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,16 +42,81 @@ def test_scripts():
     assert [script_of(x) for x in ("abc", "naïve", "Привет мир", "日本", "1 2", "γεια", "안녕")] == ["latin", "latin", "cyrillic", "han", "latin", "greek", "hangul"]
 
 
+PROSE = "the house by a river was old and cold so nobody went there in winter but two brave children from town".split()
+
+
+RICH = [a + b for a in "water house stone garden market window forest winter silver letter".split() for b in ("", "s", "less", "like", "ed", "ing")]
+
+
+def text_of(seed, words=PROSE, n=80):
+    return " ".join(np.random.default_rng(seed).choice(words, n)) + "."
+
+
 def test_verdicts(spark):
-    rng = np.random.default_rng(0)
-    prose = " ".join(rng.choice("the house by a river was old and cold so nobody went there in winter but two brave children from town".split(), 80)) + "."
+    prose = text_of(0)
     rows = {1: prose, 2: None, 3: "", 4: "short text", 5: "same words again " * 60, 6: " ".join(f"{w}%%%" for w in prose.split()), 7: prose * 400, 8: "͸" * 60}
+    rows |= {100 + k: text_of(k) for k in range(1, 120)}
     df = spark.createDataFrame([(k, v, "x") for k, v in rows.items()] + [(1, prose, "y")], "doc_id long, text string, script string")
     got = {r.doc_id: r for r in judge(df).collect()}
     assert {k: (got[k].base_failed, got[k].kept) for k in (1, 2, 3, 4, 5, 6)} == {1: (False, True), 2: (True, False), 3: (True, False), 4: (True, False), 5: (True, False), 6: (False, False)}
+    assert got[7].base_failed and all(got[k].kept for k in rows if k > 100)
     for k, text in rows.items():
         assert (got[k].n_words, got[k].word_chars, got[k].n_symbols, got[k].n_dup_lines) == brute(text)[:4] if k != 7 else got[k].base_failed
-    assert judge(df).count() == 9 and judge(df.limit(0)).count() == 0
+    assert judge(df).count() == len(rows) + 1 and judge(df.limit(0)).count() == 0
+
+
+def brute_measures(text):
+    """Token by token."""
+    bpe, multi, (pieces, _) = tokens.byte_bpe(), tokens.byte_bpe(tokens.multi_path()), tokens.piece_bpe()
+    ids = [list(bpe.encode_ordinary(text)), list(multi.encode_ordinary(text)), pieces.encode(text)]
+
+    def is_piece(encoder, i):
+        try:
+            return encoder.decode_single_token_bytes(i).decode() is None
+        except UnicodeDecodeError:
+            return True
+
+    shares = [sum(is_piece(e, i) for i in x) / len(x) for e, x in ((bpe, ids[0]), (multi, ids[1]))] + [sum(pieces.is_byte(i) for i in ids[2]) / len(ids[2])]
+    n = len(ids[0])
+    entropy = -sum(c / n * math.log(c / n) for c in Counter(ids[0]).values()) / math.log(min(n, 2000))
+    return n, *[len(text) / len(x) for x in ids], *shares, entropy
+
+
+@pytest.mark.parametrize("text", [text_of(1), "naïve café 日本語 \U00010330\U00010331 x", "aaaa " * 30, "Привет, мир! " * 5, text_of(2, n=3000)])
+def test_measures_against_brute_force(text):
+    assert np.allclose(Measures()(text), brute_measures(text))
+
+
+def brute_band(values, width, slack):
+    """Bounds from the values of a group, by sorting them."""
+    v = sorted(values)
+    low, mid, high = (v[max(math.ceil(q * len(v)) - 1, 0)] for q in (0.25, 0.5, 0.75))
+    return mid - max(width * (mid - low), slack(mid)), mid + max(width * (high - mid), slack(mid))
+
+
+def test_each_measure_alone_rejects_and_bands_match_brute_force(spark):
+    gothic = "".join(map(chr, range(0x10330, 0x1034A)))
+    clean = [(k, text_of(k, RICH, 200), "en") for k in range(150)] + [(200 + k, text_of(k, "дом у реки был стар и холоден так что зимой туда никто не ходил".split(), 120), "ru") for k in range(150)]
+    odd = [
+        (1000, text_of(6, ["".join(x) for x in product("bcdfg", "vwxzj", "qk", "xz")], 240), "en"),  # short tokens
+        (1001, " ".join(f"{w} {gothic[i % 26]}" if i % 4 == 0 else w for i, w in enumerate(text_of(7, RICH, 200).split())), "en"),  # bytes
+        (1002, text_of(8, [RICH[6 * k + k % 6] for k in range(10)], 150), "en"),  # few different tokens
+        (1003, text_of(9), None), (1004, text_of(9), "xx"),  # groups of one: the fixed band
+    ]
+    df = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in judge(df, language="lang").collect()}
+    assert all(got[i].kept for i, _, _ in clean)
+    assert [got[k].kept for k in (1000, 1001, 1002, 1003, 1004)] == [False, False, False, True, True]
+    inside = lambda r, b, names: all(b[m][0] <= r[m] <= b[m][1] for m in names)
+    slack = {m: (lambda mid: 0.20 * mid) if m in PER_TOKEN else (lambda mid: 0.10) if m in SHARES else (lambda mid: 0.15) for m in MEASURES}
+    bands = {g: {m: brute_band([r[m] for r in got.values() if r.band == g and not r.base_failed], 4 if m == "entropy" else 12, slack[m]) for m in MEASURES} for g in ("en", "ru")}
+    for r in got.values():
+        if r.band in bands and not r.base_failed:
+            b = bands[r.band]
+            fits = inside(r, b, PER_TOKEN) and all(r[m] <= b[m][1] for m in SHARES) and r.entropy >= b["entropy"][0]
+            assert r.kept == fits
+    assert got[1000].rejected_by in PER_TOKEN and got[1002].rejected_by == "entropy"
+    assert got[1001].fallback_share > bands["en"]["fallback_share"][1]
 
 
 ORDINARY = {
