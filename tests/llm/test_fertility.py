@@ -45,7 +45,7 @@ def test_scripts():
 PROSE = "the house by a river was old and cold so nobody went there in winter but two brave children from town".split()
 
 
-RICH = [a + b for a in "water house stone garden market window forest winter silver letter".split() for b in ("", "s", "less", "like", "ed", "ing")]
+RICH = [a + b for a in "water house stone garden market window forest winter silver letter river table paper summer music animal doctor school street valley engine mirror bridge castle cotton dinner flower hammer island jacket".split() for b in ("", "s", "less", "like", "ed", "ing")]
 
 
 def text_of(seed, words=PROSE, n=80):
@@ -148,7 +148,8 @@ def test_rare_characters_fail_in_every_script(spark):
     rare = {k: ["".join(map(chr, rng.integers(a, b, 5))) for _ in range(80)] for k, (a, b) in RARE.items()}
     # among ordinary words of the script, so that its letters decide the band
     rows += [(2, k, shuffled(v + ORDINARY.get(k, "").split()[:5])) for k, v in rare.items()]
-    got = judge(spark.createDataFrame(rows, "doc_id long, name string, text string"), language=None).collect()
-    for r, (kind, name, _) in zip(got, rows):
-        assert not r.base_failed, (name, kind)
-        assert r.kept == (kind == 1), (name, kind, r)
+    df = spark.createDataFrame([(i, name, text) for i, (_, name, text) in enumerate(rows)], "doc_id long, name string, text string")
+    got = {r.doc_id: r for r in judge(df, language=None).collect()}
+    for i, (kind, name, _) in enumerate(rows):
+        assert not got[i].base_failed, (name, kind)
+        assert got[i].kept == (kind == 1), (name, kind, got[i])
