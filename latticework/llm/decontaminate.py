@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, names and units after a number turn into typed placeholders, all else is
-lower-cased and stripped of edge punctuation. Names are capitalised words, those with inner capitals included (NASA,
+Words become template tokens: numbers (in digits or English words), names, quantities (5kg) and units after a number
+turn into typed placeholders, all else is lower-cased and stripped of edge punctuation. Names are capitalised words, those with inner capitals included (NASA,
 McDonald), unless more than ``RUN`` follow each other, as in a headline. A text is read twice. In the first reading
 each word is a token and a capitalised word that starts a sentence is an ordinary one; in the second it is a name, and
 a run of capitalised words that no punctuation divides is one name, so that names at sentence starts and names of
@@ -9,12 +9,15 @@ another length in words meet too. Five-token template windows of the documents a
 benchmark in the same reading; a window counts as found if it is in either. Windows that line up (same document, item and shift) are
 accepted if their slots are consistent: each value in the item always meets the same value in the document and the
 other way round, so a question with other numbers or names in it is still caught and a chance fit is not. An item
-counts as leaked where at least ``coverage`` (0.8) of its windows are found.
+counts as leaked where at least ``coverage`` (0.8) of its windows are found. A window of placeholders alone, as in a table,
+says nothing by its template and meets the same values only. An item under five words is one window, which meets
+whole lines.
 
-Only windows whose hash the benchmark has are emitted from Python. Up to ``broadcast_windows`` benchmark windows the
-hashes travel as a broadcast array; beyond it all windows go through a shuffled join. Results are the same.
+Only windows whose hash the benchmark has are emitted from Python. Up to ``broadcast_windows`` benchmark windows and
+``broadcast_bytes`` of them the hashes travel as a broadcast array; beyond it all windows go through a shuffled join. Results are
+the same.
 
-Defined cases: null or empty texts and items with fewer than five words have no window and match nothing; an item
+Defined cases: null or empty texts have no window and match nothing; an item
 whose second reading has fewer than five tokens counts windows of the first alone; repeated items each match; texts are read whole; rows with a null id are returned as clean, since nothing names them; rows that
 repeat an id are judged together; extra columns are ignored; empty tables give empty results or no match.
 """
@@ -39,9 +42,15 @@ UNITS = frozenset(
     b"min minute minutes h hour hours day days week weeks month months year years mph kmh km/h usd eur gbp dollar dollars "
     b"euro euros cent cents percent degrees degree celsius fahrenheit watt watts kw kwh volt volts hz khz mhz ghz".split()
 )
+#: Numbers in words.
+NUMBER_WORDS = frozenset(
+    b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    b"twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
 NUMBER = re.compile(rb"[+-]?[$\xc2\xa3\xe2\x82\xac]*\d[\d.,:/-]*(?:st|nd|rd|th|%)?")
+QUANTITY = re.compile(rb"[+-]?\d[\d.,]*([^\d.,]+)")
 EDGES = b".,;:!?\"'()[]{}<>"
-OTHER, NUM, NAME, UNIT, CAPS = 0, 1, 2, 3, 4
+OTHER, NUM, NAME, UNIT, CAPS, AMOUNT = 0, 1, 2, 3, 4, 5
 CACHE = 400_000
 #: Longer runs of capitalised words are no name.
 RUN = 6
@@ -65,8 +74,10 @@ class Canon:
         core = word.strip(EDGES) or word
         text = core.decode("utf-8", "replace")
         low = text.lower().encode()
-        if NUMBER.fullmatch(core):
+        if NUMBER.fullmatch(core) or low in NUMBER_WORDS:
             kind = NUM
+        elif (amount := QUANTITY.fullmatch(low)) and amount[1] in UNITS:
+            kind = AMOUNT
         elif low in UNITS:
             kind = UNIT
         elif low != core and core[1:].decode("utf-8", "ignore").islower():
@@ -108,19 +119,32 @@ class Canon:
         return tuple((np.where(k == OTHER, v, k.astype(np.uint64)), v, k, p) for v, k, p in readings)
 
 
-def windows_of(template: np.ndarray) -> np.ndarray:
-    n = max(len(template) - W + 1, 0)
-    out = np.zeros(n, np.uint64)
-    for j in range(W):
+def windows_of(template: np.ndarray, value: np.ndarray, kind: np.ndarray, width: int = W) -> np.ndarray:
+    """Hashes of all windows: of their templates, or of their values where all tokens are placeholders."""
+    n = max(len(template) - width + 1, 0)
+    out, exact, plain = np.full(n, width, np.uint64), np.full(n, width, np.uint64), np.zeros(n, bool)
+    for j in range(width):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + template[j : j + n])
-    return out
+        exact = mix(exact * np.uint64(0x9E3779B97F4A7C15) + value[j : j + n])
+        plain |= kind[j : j + n] == OTHER
+    return np.where(plain, out, exact)
+
+
+def slots_of(kind: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Of the placeholders among some tokens: offset + 8 * kind and value, flattened."""
+    spots = np.flatnonzero(kind)
+    flat = np.empty(2 * len(spots), np.int64)
+    flat[::2] = spots + 8 * kind[spots].astype(np.int64)
+    flat[1::2] = value[spots].view(np.int64)
+    return flat
 
 
-def _scan(text_column: str, id_column: str, known: np.ndarray | None):
+def _scan(text_column: str, id_column: str, known: np.ndarray | None, lines: bool):
     """Rows (id, reading, pos, place, wh, slots) of windows; with ``known`` (sorted hashes) only of those in it.
 
-    pos: the first token in its own reading; place: that token in the second reading, or the word where the second
-    has no window. slots: for the window's placeholders, offset + 8 * kind and value, flattened.
+    pos: the first token in its own reading, or the number of a short line; place: that token in the second reading, or
+    the word where the second has no window. ``lines``: each line of fewer than five words is a window too; otherwise
+    each such text.
     """
 
     def scan(batches):
@@ -137,7 +161,7 @@ def _scan(text_column: str, id_column: str, known: np.ndarray | None):
             lead = np.searchsorted(folds, first)  # the first folded token of each text
             last = np.append(lead[1:], len(folds)) - lead - W
             for reading, (template, value, kind, begin) in enumerate(readings):
-                h = windows_of(template) ^ np.uint64(reading)
+                h = windows_of(template, value, kind) ^ np.uint64(reading)
                 if known is None:
                     at = np.arange(len(h))
                 else:
@@ -153,20 +177,34 @@ def _scan(text_column: str, id_column: str, known: np.ndarray | None):
                 word = begin[at] - first[text]
                 place = np.searchsorted(folds, begin[at], "right") - 1 - lead[text]
                 place = np.where(last[text] < 0, word, np.minimum(place, last[text]))
-                slots = []
-                for p in at.tolist():
-                    spots = np.flatnonzero(kind[p : p + W])
-                    flat = np.empty(2 * len(spots), np.int64)
-                    flat[::2] = spots + 8 * kind[p : p + W][spots].astype(np.int64)
-                    flat[1::2] = value[p : p + W][spots].view(np.int64)
-                    slots.append(flat)
+                slots = [slots_of(kind[p : p + W], value[p : p + W]) for p in at.tolist()]
                 pos = at - lead[text] if reading else word
                 yield pd.DataFrame({"id": pd.Series([ids[t] for t in text.tolist()], dtype="Int64"), "reading": reading, "pos": pos, "place": place, "wh": h[at].view(np.int64), "slots": slots})
 
+        def short_rows(found):
+            """Whole short lines ``(id, line number, words)``, in both readings."""
+            first = np.cumsum([0, *[len(words) for _, _, words in found[:-1]]])
+            readings = canon([w for _, _, words in found for w in words], first)
+            out = []
+            for reading, (template, value, kind, begin) in enumerate(readings):
+                edges = np.append(np.searchsorted(begin, first), len(begin))
+                for (i, line, _), a, z in zip(found, edges, edges[1:]):
+                    h = windows_of(template[a:z], value[a:z], kind[a:z], z - a)[0] ^ np.uint64(2 + reading)
+                    if known is None or (len(known) and known[min(np.searchsorted(known, h), len(known) - 1)] == h):
+                        out.append((i, reading, line, 0, int(h.view(np.int64)), slots_of(kind[a:z], value[a:z])))
+            out = pd.DataFrame(out, columns=["id", "reading", "pos", "place", "wh", "slots"])
+            return out.assign(id=out["id"].astype("Int64"))
+
         ids, words, sizes = [], [], []
         for pdf in batches:
+            short = []
             for i, text in zip(pdf[id_column], pdf[text_column]):
-                more = encode(text).split()
+                text = encode(text)
+                more = text.split()
+                if lines:
+                    short += [(i, n, w) for n, line in enumerate(text.split(b"\n")) if 0 < len(w := line.split()) < W]
+                elif 0 < len(more) < W:
+                    short.append((i, 0, more))
                 if len(more) < W:
                     continue
                 ids.append(i)
@@ -175,6 +213,8 @@ def _scan(text_column: str, id_column: str, known: np.ndarray | None):
                 if len(words) > CHUNK:
                     yield from rows(ids, words, sizes)
                     ids, words, sizes = [], [], []
+            if short:
+                yield short_rows(short)
         if ids:
             yield from rows(ids, words, sizes)
 
@@ -184,25 +224,24 @@ def _scan(text_column: str, id_column: str, known: np.ndarray | None):
 WINDOWS = "id long, reading long, pos long, place long, wh long, slots array<long>"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, broadcast_windows: int = 2_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, broadcast_windows: int = 2_000_000, broadcast_bytes: int = 128 << 20) -> DataFrame:
     """``(doc_id, item_id, item_windows, found_windows, coverage, reparameterised)`` of leaked items."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     items = scratch.put(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-        .mapInPandas(_scan("text", "item_id", None), WINDOWS)
-        .selectExpr("id as item_id", "pos as item_pos", "place as item_place", "wh", "slots as item_slots")
+        .mapInPandas(_scan("text", "item_id", None, False), WINDOWS)
+        .selectExpr("id as item_id", "reading as item_reading", "pos as item_pos", "place as item_place", "wh", "slots as item_slots")
     )
-    n = items.count()
-    known = None
-    if n <= broadcast_windows:
-        known = np.unique(np.array([r[0] for r in items.select("wh").distinct().collect()], np.int64).view(np.uint64))
-        items_side = F.broadcast(items)
-    else:
-        items_side = items
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(64 + 8 * F.size("item_slots")), F.lit(0)).alias("bytes")).first()
+    short = not benchmark.where(F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")) < W).isEmpty()
+    known, items_side = None, items.drop("item_reading")
+    if size["n"] <= broadcast_windows and size["bytes"] <= broadcast_bytes:
+        known = np.unique(items.select("wh").distinct().toArrow()["wh"].to_numpy().view(np.uint64))
+        items_side = F.broadcast(items_side)
     found = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInPandas(_scan("text", "doc_id", known), WINDOWS)
+        .mapInPandas(_scan("text", "doc_id", known, short), WINDOWS)
         .drop("place")
         .withColumnRenamed("id", "doc_id")
     )
