@@ -42,6 +42,8 @@ BROADCAST_IDS = 1_000_000
 NEAR = 0.5
 #: Classes that share a shingle up to which they meet directly, without pivots.
 FEW = 8
+#: Parts that a region's members are dealt to when they learn its block counts.
+SALTS = 32
 
 
 class Shingler:
@@ -77,7 +79,13 @@ def _fingerprint(shingles: np.ndarray) -> int:
 
 
 def _need(n: np.ndarray | int):
-    """Prefix shingles that linked classes share at least; does not fall with n."""
+    """Prefix shingles that linked classes share at least; does not fall with n.
+
+    With sizes y <= x and a similarity p of 0.03 or more, two linked classes have ceil(p x) shingles in common at least, so
+    the prefixes (n - ceil(p n) + need(n) long) share need(x) on the one side and need(y) + ceil(p x) - ceil(p y) on the
+    other, which is floor(0.03 x) or more on both. At most half of need(y) may be in small groups without the direct
+    join finding the pair, so large groups hold more than 0.012 x of them.
+    """
     return 1 + (n * 3) // 100
 
 
@@ -234,6 +242,8 @@ class Groups:
 
     def __init__(self, docs: DataFrame, words: int = 4, percent: int = 85, rounds: int = 3, block: int = 256):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        if not 3 <= percent <= 100:
+            raise ValueError("percent must be from 3 to 100: the bounds on shared prefixes don't hold below")
         self.words, self.percent, self.rounds, self.block = words, percent, rounds, block
         self.t = (100 - percent) / 100
         self.scratch = Scratch(docs.sparkSession)
@@ -263,7 +273,10 @@ class Groups:
         # the innermost shell meets the next only, any other its neighbours and itself
         low = pick(lambda s: first[1] if s <= 0 else (first[s - 1]))
         high = pick(lambda s: first[min(s + 2, shells)])
-        placed = near.join(count.where(" + ".join(f"k{s}" for s in range(1, shells)) + " > 0"), "y").select(
+        # the counts are a row a region: copied to every salt, so that the members of a large one meet them in many tasks
+        count = count.where(" + ".join(f"k{s}" for s in range(1, shells)) + " > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = near.withColumn("salt", F.pmod(F.xxhash64("x", F.lit("salt")), F.lit(SALTS)).cast("int"))
+        placed = salted.join(count, ["y", "salt"]).select(
             "x", "y", "nx", "bits", "extra",
             F.expr(f"({pick(lambda s: first[s])}) + pmod(xxhash64(x), greatest({pick(lambda s: f'k{s}')}, 1))").cast("int").alias("block"),
             F.expr(low).cast("int").alias("low"),

@@ -70,3 +70,26 @@ def test_empty(spark):
     assert near_duplicates(df).count() == 0
     one = spark.createDataFrame([(None, "a b c d e f"), (4, "x")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_duplicates(one).collect()) == [("4", 1, "4"), ("None", 3, "None")]
+
+
+def test_a_large_group_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """3,000 texts that differ from one in a word or two: the rows that meet in blocks stay far below the pairs."""
+    rng = random.Random(2)
+    first = [f"w{k}" for k in range(260)]
+    rows = []
+    for i in range(3000):
+        words = list(first)
+        for _ in range(rng.choice([1, 2])):
+            words[rng.randrange(260)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    met = []
+    join = ngram_join._join_blocks
+    monkeypatch.setattr(ngram_join, "_join_blocks", lambda blocks, percent: (met.append(blocks.count()), join(blocks, percent))[1])
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 3000
+    assert sum(met) <= 20 * 3000
+
+
+def test_percent_is_checked(spark):
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=2)
