@@ -21,11 +21,6 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _logsumexp(x, axis):
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 class Tagger:
     """``allowed[a, b]``: whether tag b may follow tag a."""
 
@@ -71,8 +66,11 @@ class Tagger:
             steps.append((ids[:, k], dz))
             dw += last.T @ dz
             ds, dc = dz @ w.T, dc * f
-        hot = np.eye(SYMBOLS, dtype=np.float32)[np.concatenate([i for i, _ in steps])]
-        into["x" + d], into["h" + d] = hot.T @ np.concatenate([dz for _, dz in steps]), dw
+        symbol, dz = np.concatenate([i for i, _ in steps]), np.concatenate([dz for _, dz in steps])
+        order = np.argsort(symbol, kind="stable")
+        start = np.flatnonzero(np.diff(symbol[order], prepend=-1))
+        into["x" + d], into["h" + d] = np.zeros_like(self.p["x" + d]), dw
+        into["x" + d][symbol[order][start]] = np.add.reduceat(dz[order], start)
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Emission scores (batch, time, tags)."""
@@ -85,21 +83,25 @@ class Tagger:
         backward, trace_b = self._run(ids, "b", True)
         both = np.concatenate([forward, backward], 2)
         e = (both @ self.p["out"] + self.p["bias"]).astype(np.float64)
-        move = (self.p["move"] + self.barrier).astype(np.float64)
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for k in range(1, t):
-            alpha[:, k] = _logsumexp(alpha[:, k - 1, :, None] + move, 1) + e[:, k]
+        barred = (self.p["move"] + self.barrier).astype(np.float64)
+        # forward and backward sums as probabilities, scaled to one at each step
+        top = e.max(2, keepdims=True)
+        here, move = np.exp(e - top), np.exp(barred)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((b, t, 1))
+        for k in range(t):
+            now = here[:, k] * (alpha[:, k - 1] @ move if k else 1.0)
+            scale[:, k] = now.sum(1, keepdims=True)
+            alpha[:, k] = now / scale[:, k]
         for k in range(t - 2, -1, -1):
-            beta[:, k] = _logsumexp(move + (e[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-        z = _logsumexp(alpha[:, -1], 1)
+            beta[:, k] = (here[:, k + 1] * beta[:, k + 1] / scale[:, k + 1]) @ move.T
+        z = (np.log(scale) + top).sum((1, 2))
         rows = np.arange(b)[:, None]
-        gold = e[rows, np.arange(t), tags].sum(1) + move[tags[:, :-1], tags[:, 1:]].sum(1)
-        de = np.exp(alpha + beta - z[:, None, None])
+        gold = e[rows, np.arange(t), tags].sum(1) + barred[tags[:, :-1], tags[:, 1:]].sum(1)
+        de = alpha * beta
         de[rows, np.arange(t), tags] -= 1
-        dmove = np.zeros_like(move)
-        for k in range(1, t):
-            dmove += np.exp(alpha[:, k - 1, :, None] + move + (e[:, k] + beta[:, k])[:, None, :] - z[:, None, None]).sum(0)
+        ahead = here[:, 1:] * beta[:, 1:] / scale[:, 1:]
+        n = e.shape[2]
+        dmove = (alpha[:, :-1].reshape(-1, n).T @ ahead.reshape(-1, n)) * move
         np.subtract.at(dmove, (tags[:, :-1], tags[:, 1:]), 1)
         de = (de / b).astype(np.float32)
         grads = {"out": both.reshape(b * t, -1).T @ de.reshape(b * t, -1), "bias": de.sum((0, 1)), "move": (dmove / b * (self.barrier == 0)).astype(np.float32)}

@@ -128,14 +128,15 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600) -> Model | None
     limit = F.lit(0)
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, int(span * min(1.0, per_language / n))).otherwise(limit)
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(span)) < limit)
+    # equal texts of a language, as of rows that repeat an id, teach once
+    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), "text", F.lit("sample")), F.lit(span)) < limit).select("lang", "text").distinct()
 
     def featurise(batches):
         for pdf in batches:
             keep = pdf[pdf["text"].map(has_letter).astype(bool)]
             yield pd.DataFrame({"lang": keep["lang"], "x": [features(t).astype(np.float16).tobytes() for t in keep["text"]]})
 
-    rows = sample.select("lang", "text").mapInPandas(featurise, "lang string, x binary").collect()
+    rows = sample.mapInPandas(featurise, "lang string, x binary").collect()
     if not rows:
         return None
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)

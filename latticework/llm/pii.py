@@ -3,7 +3,8 @@
 The base spans are what the four patterns find. The tagger is trained on labelled spans: base spans of at most
 about ``sample`` documents (drawn by a hash among those that have a digit or an at sign), in their contexts, as written
 and rewritten to other surface forms (a phone without its plus, an address with "at" spelt out, a grouped card number),
-with everything else around them labelled as text. It reads texts in overlapping windows of ``WINDOW`` characters, and every
+and on generated ones after cue words, with everything else around them labelled as text: the contexts' own numbers,
+and generated dates, versions, ISBNs, order and serial numbers, hashes and the like. It reads texts in overlapping windows of ``WINDOW`` characters, and every
 character belongs to the window in whose middle half it lies: a window's span counts if its own centre does. Spans of
 all windows are then put in order, and those that overlap a base span or an earlier one, or fail the check of their
 kind, are dropped.
@@ -38,7 +39,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SPELT = re.compile(r"\s*[(\[]\s*at\s*[)\]]\s*", re.I)
-BARE = re.compile(r"\S*[0-9@]\S*|[(\[]\s?at\s?[)\]]", re.I)
+#: What may be personal data: addresses, and runs of eight digits or more. Other numbers stay in the contexts, as they are no spans.
+LONG = re.compile(r"\S*@\S*|\S*\s?[(\[]\s?at\s?[)\]]\s?\S*|[+(]?(?:[0-9][ ().\[\]/-]{0,3}){7,}[0-9]", re.I)
 TRIGGER = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]", re.I)
 
 
@@ -89,13 +91,13 @@ def plausible(kind: int, text: str, start: int, end: int) -> bool:
     if kind == 1:
         return bool(re.fullmatch(r"\d{1,3}(?:(?:\[\.\]|\s?\.\s?)\d{1,3}){3}", s, re.A)) and all(int(x) <= 255 for x in re.findall("[0-9]+", s))
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9](?:[ ./-]{0,2}[0-9])+", s)) and 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1
+        return bool(re.fullmatch(r"[0-9](?:[ ./-]{0,3}[0-9])+", s)) and 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1
     return bool(re.fullmatch(r"(?:\+|00)?[0-9(][0-9() ./-]*[0-9]", s)) and 9 <= len(digits) <= 15 and len(re.findall("[0-9]+", s)) >= 3 and s.count("(") == s.count(")")
 
 
 def trimmed(kind: int, text: str, start: int, end: int) -> tuple[int, int] | None:
     """The longest plausible part of a proposed span, without up to three of its words at the end or start."""
-    marks = [m.span() for m in re.finditer(r"[^ .,;:]+(?:[.,;:]+[^ .,;:]+)*", text[start:end])]
+    marks = [m.span() for m in re.finditer(r"[^ .,;:<>\"']+(?:[.,;:]+[^ .,;:<>\"']+)*", text[start:end])]
     for cut in range(min(4, len(marks))):
         for head in range(cut + 1):
             left, right = marks[head][0], marks[len(marks) - 1 - (cut - head)][1]
@@ -105,46 +107,88 @@ def trimmed(kind: int, text: str, start: int, end: int) -> tuple[int, int] | Non
     return None
 
 
+#: Words that stand before personal data of each kind, and before other numbers, in generated contexts.
+CUES = (
+    ("write to", "mail:", "e-mail", "contact", "reach me under", "send it to", "address is", "from", "cc"),
+    ("server", "host", "ping", "address", "ip", "from", "node", "connect to", "at", "router"),
+    ("card", "credit card", "card number", "paid with", "visa", "charge", "card no.", "mastercard", "debit card"),
+    ("call", "tel.", "phone", "phone:", "my number is", "ring", "mobile", "fax", "tel:", "dial", "reach me at"),
+)
+OTHER_CUES = ("ISBN", "order", "order no.", "invoice", "part number", "version", "serial", "id", "tracking code", "DOI", "section", "model", "ticket", "ref.", "on", "pages", "account", "No.", "code", "item")
+
+
 class Labelled:
-    """Windows with labelled spans, rewritten to more forms than the patterns know."""
+    """Windows with labelled spans, in more forms than the patterns know, and with numbers that are no personal data."""
 
     def __init__(self, seed: int = 7):
         self.rng = random.Random(seed)
 
+    def digits(self, k: int) -> str:
+        return "".join(self.rng.choice("0123456789") for _ in range(k))
+
+    def word(self, least: int, most: int) -> str:
+        return "".join(self.rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(self.rng.randint(least, most)))
+
     def value(self, kind: int) -> str:
         rng = self.rng
         if kind == 0:
-            word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-            return f"{word(rng.randint(3, 9))}{rng.choice(['', '.', '_'])}{rng.choice(['', str(rng.randrange(99)), word(4)])}@{word(rng.randint(3, 8))}.{rng.choice(['com', 'org', 'net', 'example.com'])}".replace(".@", "@")
+            name = self.word(1, 8) + rng.choice(["", f".{self.word(2, 8)}", f"_{self.word(2, 8)}", f"-{self.word(2, 5)}", str(rng.randrange(999)), f".{self.word(3, 7)}{rng.randrange(99)}"])
+            host = self.word(3, 9) + rng.choice(["", "", f"-{self.word(2, 7)}", f".{self.word(3, 7)}"])
+            return f"{name}@{host}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'info', 'co.uk', 'edu', self.word(2, 3)])}"
         if kind == 1:
-            return ".".join(str(rng.randrange(256)) for _ in range(4))
+            return ".".join(str(rng.randrange(rng.choice([10, 100, 256, 256]))) for _ in range(4))
         if kind == 2:
-            d = str(rng.choice([3, 4, 5, 6])) + "".join(rng.choice("0123456789") for _ in range(14))
+            d = rng.choice("3456") + self.digits(rng.choice([12, 13, 14, 14, 14, 14]))
             return next(d + c for c in "0123456789" if luhn(d + c))
-        n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-        return f"+{rng.randrange(1, 99)} ({n(3)}) {n(3)}-{n(4)}"
+        return f"+{rng.randrange(1, 99)} ({self.digits(3)}) {self.digits(3)}-{self.digits(4)}"
 
     def rewrite(self, kind: int, s: str) -> str:
+        """The value, mostly in another surface form."""
         rng = self.rng
-        if rng.random() < 0.25:
+        if rng.random() < 0.15:
             return s
         if kind == 0:
             name, _, host = s.partition("@")
-            at = rng.choice([" (at) ", " [at] ", "(at)", "[at]", " @ "])
-            return name + at + (host.replace(".", rng.choice([" dot ", " (dot) ", "[dot]"])) if rng.random() < 0.5 else host)
+            at = rng.choice([" (at) ", " [at] ", "(at)", "[at]", " @ ", " (AT) ", "@"])
+            return name + at + host.replace(".", rng.choice([".", ".", " dot ", " (dot) ", "[dot]", " [dot] ", "(dot)", " . "]))
         if kind == 1:
             return s.replace(".", rng.choice([".", "[.]", " . "]))
         d = digits_of(s)
         if kind == 2:
-            return rng.choice(["-", " ", ".", ""]).join(d[k : k + 4] for k in range(0, len(d), 4))
-        area, mid, last = d[-10:-7], d[-7:-4], d[-4:]
-        return rng.choice(["({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "{0} {1} {2}", "001 {0} {1} {2}", "({0}){1}-{2}", "{0}/{1}-{2}"]).format(area or "212", mid, last)
+            sep = rng.choice(["-", " ", ".", "", "/", " - ", "  "])
+            cuts = [4, 10] if len(d) == 15 and rng.random() < 0.8 else range(4, len(d), 4)
+            return sep.join(d[a:z] for a, z in zip([0, *cuts], [*cuts, len(d)]))
+        area, mid, last = self.digits(3), self.digits(3), self.digits(4)
+        sep = rng.choice("-. /")
+        return rng.choice([
+            f"({area}) {mid}-{last}", f"({area}){mid}-{last}", f"{area}{sep}{mid}{sep}{last}", f"{area}{sep}{mid}{sep}{last}", f"{area}/{mid}-{last}", f"001 {area} {mid} {last}", f"1-{area}-{mid}-{last}",
+            f"0{area[:2]}{rng.choice(' /-')}{self.digits(rng.choice([3, 4]))} {self.digits(rng.choice([3, 4]))}", f"00{area[:2]} {mid} {self.digits(3)} {last}", f"0{area} {self.digits(2)} {self.digits(2)} {self.digits(2)}", f"00{area[:2]} {area} {mid} {last}",
+            f"(0{area[:2]}) {self.digits(4)} {self.digits(4)}",
+        ])
 
     def noise(self) -> str:
-        rng = self.rng
-        n = lambda k: str(rng.randrange(10 ** (k - 1), 10**k))
-        word = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
-        return rng.choice([n(4), n(2), f"{n(1)}.{n(1)}", f"{n(1)}.{n(1)}.{n(2)}", f"AKIA{word}", f"{rng.getrandbits(160):040x}", f"password={rng.getrandbits(60):x}", f"{n(2)}:{n(2)}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(3)},{n(3)}", f"${n(3)}.{n(2)}", f"#{n(5)}", f"v{n(2)}", f"{n(4)}-{n(4)}", f"{n(8)}", f"{n(5)} {n(5)}"])
+        """A number, code or date of no person."""
+        rng, n = self.rng, self.digits
+        year, month, day, small = str(rng.randrange(1900, 2040)), f"{rng.randrange(1, 13):02d}", f"{rng.randrange(1, 29):02d}", str(rng.randrange(30))
+        isbn = rng.choice(["978", "979"]) + n(10)
+        kinds = [
+            lambda: f"{isbn[:3]}-{isbn[3]}-{isbn[4:6]}-{isbn[6:12]}-{isbn[12]}", lambda: f"{isbn[:3]}-{isbn[3]}-{isbn[4:8]}-{isbn[8:12]}-{isbn[12]}", lambda: isbn, lambda: f"{isbn[3]}-{isbn[4:7]}-{isbn[7:12]}-{rng.choice('0123456789X')}",
+            lambda: f"{year}-{month}-{day}", lambda: f"{day}.{month}.{year}", lambda: f"{day}/{month}/{year}", lambda: f"{year}-{rng.randrange(1900, 2040)}, {year}-{rng.randrange(1900, 2040)}", lambda: f"{year}-{month}-{day} {n(2)}:{n(2)}",
+            lambda: ".".join(str(rng.randrange(30)) for _ in range(rng.choice([2, 3, 3]))), lambda: f"v{small}.{n(1)}.{n(2)}", lambda: f"10.{n(4)}/{n(6)}.{year}", lambda: f"10.{n(4)}/{self.word(3, 6)}.{n(4)}",
+            lambda: f"{n(4)}-{n(7)}", lambda: f"{n(5)}/{year}", lambda: f"{n(3)}-{n(3)}-{n(4)}-{rng.choice('ABCX')}", lambda: f"{n(5)}-{n(5)}-{n(5)}", lambda: f"{n(4)} {n(4)} {n(4)} {n(2)}", lambda: f"{n(4)}-{n(4)}-{n(4)}",
+            lambda: f"{rng.choice('ABCX')}{n(2)}-{n(3)}-{n(4)}", lambda: n(rng.randint(1, 14)), lambda: f"{n(3)},{n(3)}", lambda: f"{n(1)},{n(3)},{n(3)}", lambda: f"${n(3)}.{n(2)}", lambda: f"#{n(5)}", lambda: f"{n(2)}:{n(2)}", lambda: f"{n(3)}-{n(3)}",
+            lambda: f"AKIA{self.word(16, 16).upper()}", lambda: f"{rng.getrandbits(160):040x}", lambda: f"password={rng.getrandbits(60):x}", lambda: f"{small}.{n(5)}, {small}.{n(5)}", lambda: f"{n(1)}-{n(1)}, {n(2)}-{n(2)}", lambda: f"{n(6)}.{year}",
+            lambda: "@" + self.word(4, 9), lambda: f"{n(8)}-{n(4)}", lambda: f"{n(2)} {n(3)} {n(3)}", lambda: f"{n(3)} {n(3)}",
+        ]
+        return rng.choice(kinds)()
+
+    def prose(self) -> str:
+        """Some made-up words, as context."""
+        rng, out = self.rng, []
+        for _ in range(rng.randint(0, 14)):
+            word = self.word(1, 9)
+            out.append((word.capitalize() if rng.random() < 0.15 else word) + rng.choice(["", "", "", "", "", ",", ".", ":", "\n"]))
+        return " ".join(out)
 
     def windows(self, contexts: list[tuple[str, str, int, str]], count: int):
         """``count`` windows and their tags. contexts: text before and after a span, its kind (-1: none), its text."""
@@ -152,15 +196,24 @@ class Labelled:
         ids, tags = np.empty((count, WINDOW), np.int64), np.zeros((count, WINDOW), np.int64)
         for k in range(count):
             before, after, kind, value = rng.choice(contexts)
-            before, after = BARE.sub("", before), BARE.sub("", after)  # other spans there have no labels
-            if kind < 0 or rng.random() < 0.3:
-                kind = rng.choice([0, 1, 2, 3])
+            before, after = LONG.sub("", before), LONG.sub("", after)  # other spans there have no labels
+            if rng.random() < 0.5:
+                before, after = self.prose(), self.prose()
+            if kind < 0 or rng.random() < 0.5:
+                kind = rng.choice([0, 1, 2, 3, 0, 3])
                 value = self.value(kind)
-            if rng.random() < 0.35:
+            if rng.random() < 0.4:
                 kind, value = -1, self.noise()
             else:
                 value = self.rewrite(kind, value)
             left, right = before.rstrip("(\"'") + (" " if before and before[-1].isalnum() else ""), (" " if after and after[0].isalnum() else "") + after
+            if rng.random() < 0.5:
+                cue = rng.choice(OTHER_CUES if kind < 0 else CUES[kind])
+                left += (cue.capitalize() if rng.random() < 0.3 else cue) + rng.choice([" ", " ", " ", "\n", ": ", " is "])
+                right = rng.choice([".", ",", "", " and", " or", "\n", ";"]) + right
+            if rng.random() < 0.2:
+                pair = rng.choice(["()", "<>", '""', "[]", "''"])
+                left, right = left + pair[0], pair[1] + right
             room = rng.randint(0, max(0, WINDOW - len(value)))
             left = left[len(left) - room :] if len(left) > room else left
             text = (left + value + right)[:WINDOW].ljust(WINDOW)
@@ -172,16 +225,16 @@ class Labelled:
         return ids, tags
 
 
-def new_tagger(seed: int = 0) -> Tagger:
+def new_tagger(seed: int = 0, hidden: int = 40) -> Tagger:
     tags = 1 + 2 * len(KINDS)
     allowed = np.ones((tags, tags), bool)
     for kind in range(len(KINDS)):
         allowed[:, 2 + 2 * kind] = False
         allowed[[1 + 2 * kind, 2 + 2 * kind], 2 + 2 * kind] = True
-    return Tagger(tags, allowed, seed=seed)
+    return Tagger(tags, allowed, hidden, seed)
 
 
-def train(docs: DataFrame, sample: int = 1000, windows: int = 4000, steps: int = 250) -> Tagger:
+def train(docs: DataFrame, sample: int = 1000, windows: int = 16_000, steps: int = 700) -> Tagger:
     """A tagger from base spans of about ``sample`` documents at most."""
 
     def contexts(batches):
@@ -198,11 +251,11 @@ def train(docs: DataFrame, sample: int = 1000, windows: int = 4000, steps: int =
 
     some, span = docs.where(F.col("text").rlike("[0-9@]")), 1 << 30
     share = int(span * min(1.0, sample / max(some.count(), 1)))
-    some = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < share)
-    rows = some.select("text").mapInPandas(contexts, "before string, after string, kind int, value string").collect()
+    some = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < share).select("text").distinct()  # equal rows are drawn together
+    rows = some.mapInPandas(contexts, "before string, after string, kind int, value string").collect()
     found = sorted(set(map(tuple, rows))) or [("the text before it. ", " and the text after it, as it goes on.", -1, "")]
     tagger = new_tagger()
-    tagger.fit(*Labelled().windows(found, windows), steps=steps)
+    tagger.fit(*Labelled().windows(found, windows), steps=steps, batch=64)
     return tagger
 
 
@@ -253,7 +306,7 @@ def joined(spans) -> str:
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
-def find_personal_data(docs: DataFrame, sample: int = 1000, windows: int = 4000, steps: int = 250) -> DataFrame:
+def find_personal_data(docs: DataFrame, sample: int = 1000, windows: int = 16_000, steps: int = 700) -> DataFrame:
     """A row per document: base counts and digest, and all spans, as ``kind:start:end``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tagger = docs.sparkSession.sparkContext.broadcast(train(docs, sample, windows, steps))
