@@ -68,6 +68,13 @@ _HOLES = ", ".join(
     "[" + ", ".join([f"'{i}'", "lead"] + [f"s{j}" for j in range(5) if j != i]) + "]" for i in range(5)
 )
 
+#: The field of a line of four to seven tokens is one of them, after the first or the first two.
+_FIELDS = ", ".join(
+    f"CASE WHEN n BETWEEN 4 AND 7 AND (CASE WHEN n <= 5 THEN 2 ELSE 3 END) + {i} <= n THEN ['short{i}', n::varchar] || "
+    f"t[1 : (CASE WHEN n <= 5 THEN 1 ELSE 2 END) + {i}] || ['<field>'] || t[(CASE WHEN n <= 5 THEN 3 ELSE 4 END) + {i} : n] END"
+    for i in range(5)
+)
+
 LINE_TEMPLATES = rf"""
 WITH lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
@@ -76,12 +83,14 @@ words AS (
   SELECT doc_id, text, pos, string_split_regex(regexp_replace(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'),
     '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g'), '[ \t\x0B\f\r]+') AS t FROM lines),
 cut AS (
-  SELECT doc_id, text, pos, len(t) AS n, array_to_string(t[1:3], ' ') || '|' || len(t) AS lead,
+  SELECT doc_id, text, pos, t, len(t) AS n, array_to_string(t[1:3], ' ') || '|' || len(t) AS lead,
     {", ".join(f"array_to_string(t[4 + {i} * greatest(len(t) - 3, 0) // 5 : 3 + {i + 1} * greatest(len(t) - 3, 0) // 5], ' ') AS s{i}" for i in range(5))}
-  FROM words WHERE len(t) >= 3),
+  FROM words WHERE t[1] <> ''),
 keyed AS (
-  SELECT doc_id, text, pos, unnest(list_concat([['full', lead, s0, s1, s2, s3, s4]], CASE WHEN n >= 8 THEN [{_HOLES}] ELSE [] END)) AS k FROM cut),
-firsts AS (SELECT k, min(doc_id) AS least FROM keyed GROUP BY k),
+  SELECT doc_id, text, pos, 2 AS support, unnest(list_concat([['full', lead, s0, s1, s2, s3, s4]], CASE WHEN n >= 8 THEN [{_HOLES}] ELSE [] END)) AS k
+  FROM cut WHERE n >= 3
+  UNION ALL SELECT doc_id, text, pos, 10, unnest(CASE WHEN n < 3 THEN [['whole'] || t] ELSE list_filter([{_FIELDS}], lambda x: x IS NOT NULL) END) FROM cut WHERE n < 8),
+firsts AS (SELECT k, min(doc_id) AS least FROM keyed GROUP BY k HAVING count(DISTINCT doc_id) >= any_value(support)),
 gone AS (SELECT DISTINCT doc_id, text, pos FROM keyed JOIN firsts USING (k) WHERE doc_id > least),
 marks AS (SELECT doc_id, text, list(pos) AS gone FROM gone GROUP BY ALL)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,

@@ -43,3 +43,25 @@ def test_same_as_sql(spark):
     want = con.sql(f"SELECT doc_id, n_lines, n_dropped, text FROM ({oracle.LINE_TEMPLATES})").fetchall()
     got = [tuple(r) for r in drop_lines(df).select("doc_id", "n_lines", "n_dropped", "text").collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def short_lines():
+    """Twelve documents with short lines of templates, nine with others, too few to count."""
+    names = "Anna Bert Carl Dora Emil Fay Gus Hal Ina Jan Kim Lou".split()
+    rows = []
+    for k, name in enumerate(names):
+        text = [f"By {name} in Sports today", "Read more", f"Share {name} with others", f"only line of {name} here that goes on for long enough to be no template of any kind {name}"]
+        rows.append((k, "\n".join(text + (["Read less", f"Posted by {name}s editor team"] if k < 9 else []))))
+    return rows
+
+
+def test_short_lines_need_support(spark):
+    df = spark.createDataFrame(short_lines(), "doc_id long, text string")
+    got = {r.doc_id: r for r in drop_lines(df).collect()}
+    assert got[0].n_dropped == 0
+    assert all(got[k].n_dropped == 3 and ("Read less" in got[k].text) == (k < 9) for k in range(1, 12))
+    assert {r.n_dropped for r in drop_lines(df, support=13).collect()} == {0}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.sql(f"SELECT doc_id, n_lines, n_dropped, text FROM ({oracle.LINE_TEMPLATES})").fetchall()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_lines, r.n_dropped, r.text)) for r in got.values())
