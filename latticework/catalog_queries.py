@@ -152,31 +152,30 @@ def count_subquery(g):
     return g.match("c", "Customer").count("c", "PLACED", "Order", "open", where="orderstatus = 'O'").frame.select(F.col("c_id").alias("id"), "open")
 
 
-CHAIN = "WITH RECURSIVE nxt AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), walk(a, b, h) AS (SELECT a, b, 1 FROM nxt WHERE b IS NOT NULL AND a % 50 = 0 UNION ALL SELECT w.a, n.b, h + 1 FROM walk w JOIN nxt n ON w.b = n.a WHERE n.b IS NOT NULL AND h < {}) "
+#: How many events each user has; consecutive ones are linked.
+CHAINS = "WITH u AS (SELECT count(*) AS k FROM events GROUP BY user_id) "
 
 
-@query("var_length_paths", CHAIN.format(3) + "SELECT h AS hops, count(*) AS n FROM walk GROUP BY 1")
+@query("var_length_paths", CHAINS + "SELECT h AS hops, sum(greatest(k - h, 0))::bigint AS n FROM u, (SELECT unnest(range(1, 4)) AS h) GROUP BY 1 HAVING n > 0")
 def var_length_paths(g):
-    return g.match("a", "Event", "id % 50 = 0").paths("a", "NEXT", "p", 1, 3).frame.groupBy(F.col("p_hops").alias("hops")).agg(F.count("*").alias("n"))
+    return g.match("a", "Event").paths("a", "NEXT", "p", 1, 3).frame.groupBy(F.col("p_hops").alias("hops")).agg(F.count("*").alias("n"))
 
 
-@query("var_length_from_zero", CHAIN.format(2) + "SELECT count(*) + (SELECT count(*) FROM events WHERE event_id % 50 = 0) AS n FROM walk")
+@query("var_length_from_zero", CHAINS + "SELECT sum(k + greatest(k - 1, 0) + greatest(k - 2, 0))::bigint AS n FROM u")
 def var_length_from_zero(g):
-    return g.match("a", "Event", "id % 50 = 0").paths("a", "NEXT", "p", 0, 2).frame.agg(F.count("*").alias("n"))
+    return g.match("a", "Event").paths("a", "NEXT", "p", 0, 2).frame.agg(F.count("*").alias("n"))
 
 
-@query("reachable_within", CHAIN.format(10) + "SELECT a AS id, count(DISTINCT b) AS reached FROM walk GROUP BY 1")
+@query("reachable_within", "SELECT event_id AS id, least(after, 10) AS reached FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS after FROM events) WHERE after > 0")
 def reachable_within(g):
-    start = g.nodes["Event"].where("id % 50 = 0").select("id")
-    far = A.hops_from(start, g.all_edges("NEXT"), most=10).where("hops > 0")
+    far = A.hops_from(g.nodes["Event"].select("id"), g.all_edges("NEXT"), most=10).where("hops > 0")
     return far.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("reached"))
 
 
-@query("shortest_path_length", CHAIN.format(40) + "SELECT a, b, min(h) AS hops FROM walk WHERE b % 50 = 1 GROUP BY 1, 2")
+@query("shortest_path_length", CHAINS + "SELECT h AS hops, sum(greatest(k - h, 0))::bigint AS n FROM u, (SELECT unnest(range(1, 21)) AS h) GROUP BY 1 HAVING n > 0")
 def shortest_path_length(g):
-    start = g.nodes["Event"].where("id % 50 = 0").select(F.col("id"))
-    far = A.hops_from(start, g.all_edges("NEXT"), most=40).where("hops > 0 and id % 50 = 1")
-    return far.select(F.col("source").alias("a"), F.col("id").alias("b"), "hops")
+    far = A.hops_from(g.nodes["Event"].select("id"), g.all_edges("NEXT"), most=20).where("hops > 0")
+    return far.groupBy("hops").agg(F.count("*").alias("n"))
 
 
 # --- aggregates, windows, order, sets
@@ -258,8 +257,8 @@ def correlated_top_k(g):
 
 
 
-ORACLE["unwind_list"] = "SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS k, round(unnest(embedding)::double, 5) AS x FROM embeddings WHERE vec_id < 20"
-QUERIES["unwind_list"] = lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 20").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("p", "v")).select("id", (F.col("p") + 1).cast("long").alias("k"), F.round(F.col("v").cast("double"), 5).alias("x"))
+ORACLE["unwind_list"] = "SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS k, round(unnest(embedding)::double, 5) AS x FROM embeddings"
+QUERIES["unwind_list"] = lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("p", "v")).select("id", (F.col("p") + 1).cast("long").alias("k"), F.round(F.col("v").cast("double"), 5).alias("x"))
 
 
 @query("list_functions", "SELECT n_nationkey AS id, len(list_filter(string_split(n_name, ''), lambda x: x IN ('A', 'E', 'I', 'O', 'U'))) AS vowels, list_reduce(list_transform(string_split(n_name, ''), lambda x: 1), lambda a, b: a + b) AS letters FROM nation")
@@ -464,39 +463,56 @@ def rule_type_domain(g):
 
 # --- algorithms
 
-BUY = "SELECT o_custkey AS src, 1000000 + l_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 48"
+#: Customers, parts and suppliers, their ids told apart by the remainder of 3, and three links a line: all of the lines.
+TRADE = (
+    "e AS MATERIALIZED (SELECT 3 * o_custkey AS src, 3 * l_partkey + 1 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT 3 * l_partkey + 1, 3 * l_suppkey + 2 FROM lineitem "
+    "UNION ALL SELECT 3 * o_custkey, 3 * l_suppkey + 2 FROM orders JOIN lineitem ON l_orderkey = o_orderkey), "
+    "v AS MATERIALIZED (SELECT 3 * c_custkey AS id FROM customer UNION ALL SELECT 3 * p_partkey + 1 FROM part UNION ALL SELECT 3 * s_suppkey + 2 FROM supplier), "
+    "b AS MATERIALIZED (SELECT src AS u, dst AS w FROM e UNION SELECT dst, src FROM e)"
+)
 
 
-def _purchases(g):
-    rows = g.match("c", "Customer").hop("c", "PLACED", "o", "Order").hop("o", "CONTAINS", "p", "Part", rel="l", rel_where="l_quantity > 48")
-    edges = rows.frame.select(F.col("c_id").alias("src"), (F.lit(1_000_000) + F.col("p_id")).alias("dst"))
-    nodes = g.nodes["Customer"].select("id").unionAll(g.nodes["Part"].select(F.lit(1_000_000) + F.col("id")))
-    return nodes, edges
+def _trade(g):
+    code = lambda c, kind: (F.col(c) * 3 + kind).cast("long")
+    rows = g.all_edges("CONTAINS").select("rid", F.col("src").alias("order"), F.col("dst").alias("part"))
+    rows = rows.join(g.all_edges("SUPPLIED_BY").select("rid", F.col("dst").alias("supplier")), "rid")
+    rows = rows.join(g.all_edges("PLACED").select(F.col("src").alias("customer"), F.col("dst").alias("order")), "order")
+    link = lambda a, b: F.struct(a.alias("src"), b.alias("dst"))
+    c, p, s = code("customer", 0), code("part", 1), code("supplier", 2)
+    ends = F.array(link(c, p), link(p, s), link(c, s))
+    edges = rows.select(F.explode(ends).alias("e")).select("e.src", "e.dst")
+    nodes = [g.nodes[label].select(code("id", k).alias("id")) for k, label in enumerate(("Customer", "Part", "Supplier"))]
+    return nodes[0].unionAll(nodes[1]).unionAll(nodes[2]), edges
 
 
 def _nations(g):
     return g.nodes["Nation"].select("id"), _nation_links(g)
 
 
-@query("degree_centrality", f"WITH e AS ({LINKS}), d AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT n_nationkey AS id, round(coalesce(k, 0) / 24.0, 9) AS score FROM nation LEFT JOIN d ON id = n_nationkey")
+def _rounds(first: str, step: str, rounds: int) -> str:
+    """CTEs r0 .. r<rounds>: ``step`` has {0} for the last one's name."""
+    parts = [f"r0 AS MATERIALIZED ({first})"] + [f"r{k} AS MATERIALIZED ({step.format(f'r{k - 1}')})" for k in range(1, rounds + 1)]
+    return ", ".join(parts) + " "
+
+
+@query("degree_centrality", f"WITH {TRADE}, d AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT id, round(coalesce(k, 0) / (SELECT count(*) - 1 FROM v), 9) AS score FROM v LEFT JOIN d USING (id)")
 def degree_centrality(g):
-    return A.degree(*_nations(g)).select("id", F.round("score", 9).alias("score"))
+    return A.degree(*_trade(g)).select("id", F.round("score", 9).alias("score"))
 
 
-@query("connected_components", f"WITH RECURSIVE e AS ({LINKS} AND l_quantity > 49), b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e), r(a, x) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT a, v FROM r JOIN b ON x = u) SELECT a AS id, min(x) AS component FROM r GROUP BY 1")
+@query("connected_components", f"WITH {TRADE}, " + _rounds("SELECT id, id AS c FROM v", "SELECT id, least(any_value(x.c), coalesce(min(y.c), any_value(x.c))) AS c FROM {0} x LEFT JOIN (SELECT u, c FROM b JOIN {0} ON w = id) y ON u = id GROUP BY id", 8) + "SELECT id, c AS component FROM r8")
 def components(g):
-    rows = g.match("c", "Customer").hop("c", "PLACED", "o", "Order").hop("o", "SUPPLIED_BY", "s", "Supplier", rel="l", rel_where="l_quantity > 49 and l_discount > 0.095")
-    return A.components(g.nodes["Nation"].select("id"), rows.frame.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")))
+    return A.components(*_trade(g))
 
 
-@query("triangle_count", f"WITH e AS ({LINKS}), u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst) SELECT count(*) AS triangles FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
+@query("triangle_count", f"WITH {TRADE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS z FROM e WHERE src <> dst) SELECT count(*) AS triangles FROM u x JOIN u y ON x.z = y.a JOIN u q ON q.a = x.a AND q.z = y.z")
 def triangle_count(g):
-    return A.triangles(_nation_links(g)).agg(F.count("*").alias("triangles"))
+    return A.triangles(_trade(g)[1]).agg(F.count("*").alias("triangles"))
 
 
-@query("clustering_coefficient", f"WITH e AS ({LINKS}), u AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), k AS (SELECT a, count(*) AS k FROM u GROUP BY 1), t AS (SELECT x.a, count(*) AS t FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY 1) SELECT n_nationkey AS id, round(CASE WHEN k >= 2 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 9) AS coefficient FROM nation LEFT JOIN k ON k.a = n_nationkey LEFT JOIN t ON t.a = n_nationkey")
+@query("clustering_coefficient", f"WITH {TRADE}, k AS (SELECT u, count(*) AS k FROM b GROUP BY 1), t AS (SELECT x.u, count(*) AS t FROM b x JOIN b y ON x.u = y.u AND x.w < y.w JOIN b q ON q.u = x.w AND q.w = y.w GROUP BY 1) SELECT id, CASE WHEN k >= 2 THEN round(2.0 * coalesce(t, 0) / (k * (k - 1)), 9) ELSE 0 END AS coefficient FROM v LEFT JOIN k ON k.u = id LEFT JOIN t ON t.u = id")
 def clustering(g):
-    return A.clustering_coefficient(*_nations(g)).select("id", F.round("coefficient", 9).alias("coefficient"))
+    return A.clustering_coefficient(*_trade(g)).select("id", F.round("coefficient", 9).alias("coefficient"))
 
 
 @query("closeness_centrality", f"WITH RECURSIVE e AS ({LINKS}), w(a, x, h) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT a, e.src, h + 1 FROM w JOIN e ON x = e.dst WHERE h < 6), d AS (SELECT a, x, min(h) AS h FROM w GROUP BY 1, 2) SELECT a AS id, round(CASE WHEN sum(h) > 0 THEN (count(*) - 1.0) / sum(h) * (count(*) - 1.0) / 24 ELSE 0 END, 9) AS score FROM d GROUP BY 1")
@@ -514,19 +530,34 @@ def ready_set(g):
     return A.ready_set(g.nodes["Event"].select("id"), g.all_edges("NEXT"), g.nodes["Event"].where("event_type = 'click'").select("id"))
 
 
-@query("pagerank", None)
+@query(
+    "pagerank",
+    f"WITH {TRADE}, n AS (SELECT count(*)::double AS n FROM v), k AS (SELECT src, count(*)::double AS k FROM e GROUP BY 1), l AS MATERIALIZED (SELECT e.src, e.dst, count(*) / any_value(k) AS w FROM e JOIN k USING (src) GROUP BY 1, 2), "
+    + _rounds("SELECT id, 1 / n AS s FROM v, n", "SELECT id, (0.15 + 0.85 * coalesce((SELECT sum(s) FROM {0} WHERE id NOT IN (SELECT src FROM k)), 0)) / n + 0.85 * coalesce(got, 0) AS s FROM v CROSS JOIN n LEFT JOIN (SELECT dst, sum(s * w) AS got FROM {0} JOIN l ON src = id GROUP BY 1) ON dst = id", 10)
+    + "SELECT id, round(s, 9) AS score FROM r10",
+)
 def pagerank(g):
-    return A.pagerank(*_purchases(g), iterations=10).select("id", F.round("score", 9).alias("score"))
+    return A.pagerank(*_trade(g), iterations=10).select("id", F.round("score", 9).alias("score"))
 
 
-@query("k_core", None)
+@query(
+    "k_core",
+    f"WITH {TRADE}, "
+    + _rounds("SELECT u AS id, count(*) AS c FROM b GROUP BY 1", "SELECT id, max(least(value, h)) AS c FROM (SELECT id, value, sum(k) OVER (PARTITION BY id ORDER BY value DESC) AS h FROM (SELECT x.id, least(x.c, y.c) AS value, count(*) AS k FROM {0} x JOIN b ON u = x.id JOIN {0} y ON w = y.id GROUP BY 1, 2)) GROUP BY 1", 30)
+    + "SELECT v.id, coalesce(c, 0)::bigint AS coreness FROM v LEFT JOIN r30 USING (id)",
+)
 def k_core(g):
-    return A.k_core(*_nations(g))
+    return A.k_core(*_trade(g))
 
 
-@query("label_propagation", None)
+@query(
+    "label_propagation",
+    f"WITH {TRADE}, "
+    + _rounds("SELECT id, id AS c FROM v", "SELECT x.id, coalesce(best, x.c) AS c FROM {0} x LEFT JOIN (SELECT u, arg_min(c, (-n, c)) AS best FROM (SELECT u, c, count(*) AS n FROM b JOIN {0} ON w = id GROUP BY 1, 2) GROUP BY 1) ON u = x.id", 4)
+    + "SELECT id, c AS community FROM r4",
+)
 def label_propagation(g):
-    return A.label_propagation(*_nations(g))
+    return A.label_propagation(*_trade(g), iterations=4)
 
 
 # --- writes, change feed, selections, ingestion
@@ -599,15 +630,29 @@ def _sparse_links(g):
     return rows.frame.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
 
 
-@query("all_shortest_path_counts", STEPS + "w(a, x, h) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey < 6 UNION ALL SELECT a, dst, h + 1 FROM w JOIN e ON x = src WHERE h < 5), m AS (SELECT a, x, min(h) AS h FROM w GROUP BY 1, 2) SELECT m.a AS source, m.x AS id, m.h AS hops, count(*) AS paths FROM m JOIN w ON w.a = m.a AND w.x = m.x AND w.h = m.h GROUP BY ALL")
+def _levels() -> str:
+    """Breadth first from every nation, level by level: l0 .. l6."""
+    parts = ["l0 AS MATERIALIZED (SELECT n_nationkey AS source, n_nationkey AS id, 0 AS hops, 1::hugeint AS paths FROM nation)"]
+    for k in range(1, 7):
+        seen = " UNION ALL ".join(f"SELECT source, id FROM l{j}" for j in range(k))
+        parts.append(f"l{k} AS MATERIALIZED (SELECT source, dst AS id, {k} AS hops, sum(paths) AS paths FROM l{k - 1} JOIN e ON src = id WHERE (source, dst) NOT IN ({seen}) GROUP BY 1, 2)")
+    return ", ".join(parts)
+
+
+@query("all_shortest_path_counts", f"WITH e AS MATERIALIZED ({LINKS}), {_levels()} SELECT source, id, hops, paths::bigint AS paths FROM ({' UNION ALL '.join(f'SELECT * FROM l{k}' for k in range(7))})")
 def all_shortest_path_counts(g):
-    return P.shortest_path_counts(g.nodes["Nation"].where("id < 6").select("id"), _sparse_links(g), most=5)
+    return P.shortest_path_counts(g.nodes["Nation"].select("id"), _nation_links(g))
 
 
-@query("weighted_distances", STEPS + "w(a, x, d, h) AS (SELECT n_nationkey, n_nationkey, 0, 0 FROM nation WHERE n_nationkey < 4 UNION SELECT a, dst, d + 1 + (src * 7 + dst * 3) % 5, h + 1 FROM w JOIN e ON x = src WHERE h < 7) SELECT a AS source, x AS id, min(d)::double AS distance FROM w GROUP BY 1, 2")
+@query(
+    "weighted_distances",
+    f"WITH e AS MATERIALIZED ({LINKS}), "
+    + _rounds("SELECT n_nationkey AS a, n_nationkey AS x, 0.0::double AS d FROM nation", "SELECT a, x, min(d) AS d FROM (SELECT * FROM {0} UNION ALL SELECT a, dst, d + 1 + (src * 7 + dst * 3) % 5 FROM {0} JOIN e ON src = x) GROUP BY 1, 2", 12)
+    + "SELECT a AS source, x AS id, d AS distance FROM r12",
+)
 def weighted_distances(g):
-    e = _sparse_links(g).withColumn("cost", 1 + (F.col("src") * 7 + F.col("dst") * 3) % 5)
-    return P.weighted_distances(g.nodes["Nation"].where("id < 4").select("id"), e, "cost", most=7)
+    e = _nation_links(g).withColumn("cost", 1 + (F.col("src") * 7 + F.col("dst") * 3) % 5)
+    return P.weighted_distances(g.nodes["Nation"].select("id"), e, "cost")
 
 
 @query("expand_two_hops", STEPS + "b AS (SELECT src AS u, dst AS v FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), w(x, h) AS (SELECT 3, 0 UNION SELECT v, h + 1 FROM w JOIN b ON x = u WHERE h < 2) SELECT DISTINCT x AS id FROM w")
@@ -632,9 +677,9 @@ def spatial_join(g):
     return SP.points_in_areas(_places(g), areas, cell=5.0)
 
 
-@query("dbscan", f"WITH RECURSIVE p AS (SELECT c_custkey AS id, {COORDS} FROM customer WHERE c_custkey < 400), n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) <= 64), c AS (SELECT a AS id FROM n GROUP BY 1 HAVING count(*) >= 2), l AS (SELECT a, b FROM n WHERE a IN (FROM c) AND b IN (FROM c)), r(a, x) AS (SELECT id, id FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.x = l.a), k AS (SELECT a AS id, min(x) AS cluster FROM r GROUP BY 1), e AS (SELECT n.b AS id, min(cluster) AS border FROM n JOIN k ON n.a = k.id GROUP BY 1) SELECT p.id, coalesce(cluster, border, -1) AS cluster FROM p LEFT JOIN k ON k.id = p.id LEFT JOIN e ON e.id = p.id")
+@query("dbscan", f"WITH RECURSIVE p AS (SELECT c_custkey AS id, {COORDS} FROM customer), n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) <= 64), c AS (SELECT a AS id FROM n GROUP BY 1 HAVING count(*) >= 2), l AS (SELECT a, b FROM n WHERE a IN (FROM c) AND b IN (FROM c)), r(a, x) AS (SELECT id, id FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.x = l.a), k AS (SELECT a AS id, min(x) AS cluster FROM r GROUP BY 1), e AS (SELECT n.b AS id, min(cluster) AS border FROM n JOIN k ON n.a = k.id GROUP BY 1) SELECT p.id, coalesce(cluster, border, -1) AS cluster FROM p LEFT JOIN k ON k.id = p.id LEFT JOIN e ON e.id = p.id")
 def dbscan(g):
-    return SP.dbscan(_places(g).where("id < 400").select("id", F.col("lat").alias("x"), F.col("lon").alias("y")), 8.0, 2)
+    return SP.dbscan(_places(g).select("id", F.col("lat").alias("x"), F.col("lon").alias("y")), 8.0, 2)
 
 
 @query("compute_chain", "SELECT count(*) AS n, count(DISTINCT b) AS targets FROM (SELECT lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL")
@@ -675,52 +720,4 @@ def poly_label_neighbours(g):
 
 @query("louvain_communities", None)
 def louvain_communities(g):
-    return communities.louvain(*_nations(g))
-
-
-# --- the same over whole tables: the queries above start at few ids, as their SQL does
-
-#: How many events each user has; consecutive ones are linked.
-CHAINS = "WITH u AS (SELECT count(*) AS k FROM events GROUP BY user_id) "
-
-
-@query("var_length_paths_whole", CHAINS + "SELECT h AS hops, sum(greatest(k - h, 0))::bigint AS n FROM u, (SELECT unnest(range(1, 4)) AS h) GROUP BY 1 HAVING n > 0")
-def var_length_paths_whole(g):
-    return g.match("a", "Event").paths("a", "NEXT", "p", 1, 3).frame.groupBy(F.col("p_hops").alias("hops")).agg(F.count("*").alias("n"))
-
-
-@query("var_length_from_zero_whole", CHAINS + "SELECT sum(k + greatest(k - 1, 0) + greatest(k - 2, 0))::bigint AS n FROM u")
-def var_length_from_zero_whole(g):
-    return g.match("a", "Event").paths("a", "NEXT", "p", 0, 2).frame.agg(F.count("*").alias("n"))
-
-
-@query("reachable_within_whole", "WITH e AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS after FROM events) SELECT least(after, 10) AS reached, count(*) AS n FROM e WHERE after > 0 GROUP BY 1")
-def reachable_within_whole(g):
-    far = A.hops_from(g.nodes["Event"].select("id"), g.all_edges("NEXT"), most=10).where("hops > 0")
-    return far.groupBy("source").agg(F.count("*").alias("reached")).groupBy("reached").agg(F.count("*").alias("n"))
-
-
-@query("shortest_path_length_whole", CHAINS + "SELECT h AS hops, sum(greatest(k - h, 0))::bigint AS n FROM u, (SELECT unnest(range(1, 41)) AS h) GROUP BY 1 HAVING n > 0")
-def shortest_path_length_whole(g):
-    far = A.hops_from(g.nodes["Event"].select("id"), g.all_edges("NEXT"), most=40).where("hops > 0")
-    return far.groupBy("hops").agg(F.count("*").alias("n"))
-
-
-ORACLE["unwind_list_whole"] = "SELECT k, count(*) AS n, round(min(x), 5) AS low, round(max(x), 5) AS high FROM (SELECT unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::double AS x FROM embeddings) GROUP BY 1"
-QUERIES["unwind_list_whole"] = lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").select(F.posexplode("embedding").alias("p", "v")).groupBy((F.col("p") + 1).cast("long").alias("k")).agg(F.count("*").alias("n"), F.round(F.min(F.col("v").cast("double")), 5).alias("low"), F.round(F.max(F.col("v").cast("double")), 5).alias("high"))
-
-
-@query("all_shortest_path_counts_whole", None)
-def all_shortest_path_counts_whole(g):
-    return P.shortest_path_counts(g.nodes["Nation"].select("id"), _nation_links(g))
-
-
-@query("weighted_distances_whole", None)
-def weighted_distances_whole(g):
-    e = _nation_links(g).withColumn("cost", 1 + (F.col("src") * 7 + F.col("dst") * 3) % 5)
-    return P.weighted_distances(g.nodes["Nation"].select("id"), e, "cost")
-
-
-@query("dbscan_whole", None)
-def dbscan_whole(g):
-    return SP.dbscan(_places(g).select("id", F.col("lat").alias("x"), F.col("lon").alias("y")), 8.0, 2)
+    return communities.louvain(*_trade(g))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from latticework.operators.components import connected_components
 from latticework.storage import Scratch
@@ -37,21 +38,30 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 0.0) -> DataFrame:
-    """``(id, score)``; parallel edges count each, dangling mass is spread evenly, scores add up to one."""
+    """``(id, score)``; parallel edges count each, dangling mass is spread evenly, scores add up to one.
+
+    One job a round: the dangling mass and the change are observed while the new scores are written.
+    """
     scratch = Scratch(nodes.sparkSession)
     n = nodes.count()
     out = edges.groupBy("src").agg(F.count("*").alias("k"))
     links = scratch.put(edges.groupBy("src", "dst").agg(F.count("*").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("k")).alias("w")))
-    sinks = scratch.put(nodes.select("id").join(out, nodes["id"] == out["src"], "left").select("id", F.col("src").isNull().alias("sink")))
-    now = scratch.put(sinks.select("id", "sink", F.lit(1.0 / n if n else 0.0).alias("score")))
+    start = nodes.select("id").join(out, nodes["id"] == out["src"], "left").select("id", F.col("src").isNull().alias("sink"), F.lit(1.0 / n if n else 0.0).alias("score"))
+
+    def put(frame: DataFrame, old) -> tuple[DataFrame, float, float]:
+        seen = Observation()
+        lost, change = F.sum(F.when(F.col("sink"), F.col("score"))).alias("lost"), F.sum(F.abs(F.col("score") - old)).alias("change")
+        kept = scratch.put(frame.observe(seen, lost, change).select("id", "sink", "score"))
+        return kept, seen.get["lost"] or 0.0, seen.get["change"] or 0.0
+
+    now, lost, _ = put(start, F.lit(0.0))
     for _ in range(iterations):
-        lost = now.where("sink").agg(F.sum("score")).first()[0] or 0.0
         moved = now.join(links, now["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        base = (1 - damping + damping * lost) / n
-        fresh = scratch.put(now.withColumnRenamed("score", "old").join(moved, F.col("id") == F.col("dst"), "left").select("id", "sink", "old", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score")))
-        change = fresh.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] if tolerance else None
+        base = (1 - damping + damping * lost) / n if n else 0.0
+        fresh = now.withColumnRenamed("score", "old").join(moved, F.col("id") == F.col("dst"), "left")
+        new, lost, change = put(fresh.select("id", "sink", "old", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score")), F.col("old"))
         scratch.drop(now)
-        now = fresh.drop("old")
+        now = new
         if tolerance and change < tolerance:
             break
     return now.select("id", "score")
@@ -77,32 +87,30 @@ def clustering_coefficient(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.col("k") >= 2, 2 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("coefficient"))
 
 
-def k_core(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``(id, coreness)`` by peeling: everything of degree at most k goes before k rises."""
+def k_core(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+    """``(id, coreness)`` by the local rule: from its degree on, each node's value falls to the largest h such that h of its
+    neighbours have h or more, until nothing changes (Montresor et al., 2013).
+
+    Neighbours' values are counted by value, at most the node's own, so a hub is as many rows as its value and no list. Raises
+    after ``max_rounds``.
+    """
     scratch = Scratch(nodes.sparkSession)
-    left = scratch.put(both_ways(edges))
-    bare = nodes.select("id").join(left.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-    done = [scratch.put(bare.select("id", F.lit(0).cast("long").alias("coreness")))]
-    k = 0
+    around = scratch.put(both_ways(edges))
+    now = scratch.put(around.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")))
+    above = Window.partitionBy("id").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for _ in range(max_rounds):
-        degrees = scratch.put(left.groupBy("src").agg(F.count("*").alias("k")))
-        least = degrees.agg(F.min("k")).first()[0]
-        if least is None:
+        seen = Observation()
+        theirs = around.join(now.select(F.col("id").alias("dst"), F.col("core").alias("theirs")), "dst")
+        values = theirs.join(now.select(F.col("id").alias("src"), "core"), "src").groupBy(F.col("src").alias("id"), F.least("theirs", "core").alias("value"), "core").agg(F.count("*").alias("k"))
+        best = values.withColumn("h", F.least("value", F.sum("k").over(above))).groupBy("id").agg(F.max("h").alias("h"), F.first("core").alias("old"))
+        fresh = scratch.put(best.observe(seen, F.count_if(F.col("h") < F.col("old")).alias("fell")).select("id", F.col("h").alias("core")))
+        scratch.drop(now)
+        now = fresh
+        if not seen.get["fell"]:
             break
-        k = max(k, least)
-        gone = scratch.put(degrees.where(F.col("k") <= k).select(F.col("src").alias("id"), F.lit(k).cast("long").alias("coreness")))
-        done.append(gone)
-        keep = left.join(gone.selectExpr("id as src"), "src", "left_anti").join(gone.selectExpr("id as dst"), "dst", "left_anti").select("src", "dst")
-        # nodes that lost their last neighbour in this round belong to the same core
-        bare = degrees.where(F.col("k") > k).select(F.col("src").alias("id")).join(keep.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-        done.append(scratch.put(bare.select("id", F.lit(k).cast("long").alias("coreness"))))
-        fresh = scratch.put(keep)
-        scratch.drop(left)
-        left = fresh
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    else:
+        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    return nodes.select("id").join(now, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("coreness"))
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, iterations: int = 10) -> DataFrame:

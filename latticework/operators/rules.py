@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def orphan_node(nodes: DataFrame, edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -35,7 +34,8 @@ def cycle_2step(edges: DataFrame) -> DataFrame:
 
 def duplicate_property(nodes: DataFrame, name: str) -> DataFrame:
     """Every node whose value repeats."""
-    return nodes.where(F.col(name).isNotNull()).withColumn("copies", F.count("*").over(Window.partitionBy(name))).where("copies > 1")
+    copies = nodes.groupBy(name).agg(F.count("*").alias("copies")).where("copies > 1")
+    return nodes.join(copies, name).select(*nodes.columns, "copies")
 
 
 def null_property(nodes: DataFrame, name: str) -> DataFrame:
