@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.algorithms import both_ways
+from latticework.operators.algorithms import both_ways, hops_from
 from latticework.storage import Scratch
 
 
@@ -85,3 +85,25 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes(id)``."""
     ids = nodes.select("id").distinct()
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, directed: bool = True, most: int = 100) -> DataFrame:
+    """``(a, b, hops, path)``: one shortest path of each connected pair, through the least parents; loops over hops, not over pairs."""
+    found = hops_from(pairs.select(F.col("a").alias("id")).distinct(), edges, directed, most)
+    now = pairs.select("a", "b").distinct().join(found.select(F.col("source").alias("a"), F.col("id").alias("b"), "hops", "parent"), ["a", "b"])
+    now = now.select("a", "b", "hops", F.array("b").alias("path"), F.col("parent").alias("up"))
+    scratch = Scratch(pairs.sparkSession)
+    steps = scratch.put(found.select(F.col("source").alias("_a"), F.col("id").alias("_id"), F.col("parent").alias("_parent")))
+    now = scratch.put(now)
+    for _ in range(most):
+        if now.where("up is not null").isEmpty():
+            break
+        joined = now.join(steps, (F.col("a") == F.col("_a")) & (F.col("up") == F.col("_id")), "left")
+        path = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.array("up"), "path"))
+        now = scratch.put(joined.select("a", "b", "hops", path.alias("path"), F.col("_parent").alias("up")))
+    return now.drop("up")
+
+
+def diameter(nodes: DataFrame, edges: DataFrame) -> int:
+    """The greatest eccentricity within components; all pairs are met, so for graphs of bounded size."""
+    return hops_from(nodes.select("id"), edges, directed=False).agg(F.max("hops")).first()[0] or 0

@@ -89,3 +89,36 @@ class Selection:
         edges = self.graph.all_edges(kind, **({"source": self.label, "target": label} if direction == "out" else {"source": label, "target": self.label}))
         end = "src" if direction == "out" else "dst"
         return self._new(self.frame.join(edges.select(F.col(end).alias("id")), "id", "left_anti" if negate else "left_semi"))
+
+    def levels(self, kind: str, label: str, direction: str = "out", where=None, top: tuple[str, int] | None = None) -> DataFrame:
+        """``(parent, id, properties)``: the distinct nodes at the other end, for each node of the selection; ``top`` keeps
+        the so many largest of a property for each parent."""
+        edges = self.graph.all_edges(kind, **({"source": self.label, "target": label} if direction == "out" else {"source": label, "target": self.label}))
+        a, b = ("src", "dst") if direction == "out" else ("dst", "src")
+        pairs = edges.select(F.col(a).alias("parent"), F.col(b).alias("id")).distinct().join(self.frame.select(F.col("id").alias("parent")), "parent", "left_semi")
+        nodes = self.graph.nodes[label] if where is None else self.graph.nodes[label].where(where)
+        out = pairs.join(nodes, "id")
+        if top:
+            name, k = top
+            ranked = out.withColumn("_rank", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc_nulls_last(name), "id")))
+            out = ranked.where(F.col("_rank") <= k).drop("_rank")
+        return out
+
+    def add_properties(self, kind: str, label: str, measures: dict[str, str], direction: str = "out") -> "Selection":
+        """Aggregates over the neighbours as properties, in SQL over their columns; null (counts: 0) without any."""
+        found = self.levels(kind, label, direction).groupBy("parent").agg(*[F.expr(sql).alias(name) for name, sql in measures.items()])
+        joined = self.frame.join(found, F.col("id") == F.col("parent"), "left").drop("parent")
+        for name, sql in measures.items():
+            if sql.lower().startswith("count"):
+                joined = joined.withColumn(name, F.coalesce(name, F.lit(0)))
+        return self._new(joined)
+
+    def count(self, per: str | None = None) -> DataFrame:
+        return (self.frame.groupBy(per) if per else self.frame.groupBy()).agg(F.count("*").alias("n"))
+
+    def unique_values(self, name: str) -> DataFrame:
+        return self.frame.where(F.col(name).isNotNull()).select(name).distinct()
+
+    def valid(self, start: str, end: str, when) -> "Selection":
+        """Nodes whose validity holds the time; open bounds are null."""
+        return self._new(self.frame.where((F.col(start).isNull() | (F.col(start) <= when)) & (F.col(end).isNull() | (F.col(end) >= when))))

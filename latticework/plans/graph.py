@@ -34,10 +34,15 @@ class PropertyGraph:
         return self
 
     def add_edges(self, kind: str, source: str, target: str, frame: DataFrame, src: str = "src", dst: str = "dst", stubs: bool = False) -> "PropertyGraph":
-        """Registers edges; with ``stubs`` endpoints without a node get one that has only its id."""
+        """Registers edges; with ``stubs`` endpoints without a node get one that has only its id.
+
+        Edges without ``rid`` get one: a hash of the row and its number among equal rows, so that parallel edges differ.
+        """
         frame = frame.withColumnsRenamed({src: "src", dst: "dst"})
         if "rid" not in frame.columns:
-            frame = frame.withColumn("rid", F.xxhash64(*[F.lit(f"{kind}:{source}:{target}")], *frame.columns))
+            columns = frame.columns
+            frame = frame.withColumn("_copy", F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(1))))
+            frame = frame.withColumn("rid", F.xxhash64(F.lit(f"{kind}:{source}:{target}"), *columns, "_copy")).drop("_copy")
         self.edges.setdefault(kind, []).append(EdgeTable(source, target, frame))
         if stubs:
             for label, end in ((source, "src"), (target, "dst")):
@@ -58,6 +63,113 @@ class PropertyGraph:
             raise KeyError(f"no edges of {kinds}; there are {sorted(self.edges)}")
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
+    def all_nodes(self, *properties: str) -> DataFrame:
+        """``(label, id, properties)`` of every label; ids as text, since labels may have ids of other types."""
+        parts = []
+        for label, frame in self.nodes.items():
+            own = [F.col(p).cast("string").alias(p) if p in frame.columns else F.lit(None).cast("string").alias(p) for p in properties]
+            parts.append(frame.select(F.lit(label).alias("label"), F.col("id").cast("string").alias("id"), *own))
+        return reduce(DataFrame.unionAll, parts)
+
+    def search(self, text: str, labels: list[str] | None = None) -> DataFrame:
+        """``(label, id, property)`` of string properties that hold the text, whatever its case, in all labels."""
+        parts = []
+        for label in labels or self.nodes:
+            frame = self.nodes[label]
+            names = [c for c, t in frame.dtypes if t == "string"]
+            hits = F.array_compact(F.array(*[F.when(F.lower(c).contains(text.lower()), F.lit(c)) for c in names])) if names else F.array().cast("array<string>")
+            parts.append(frame.select(F.lit(label).alias("label"), F.col("id").cast("string").alias("id"), F.explode(hits).alias("property")))
+        return reduce(DataFrame.unionAll, parts)
+
+    # --- writes: each returns the graph with new tables; frames that were read before stay as they were
+
+    def create_nodes(self, label: str, frame: DataFrame) -> "PropertyGraph":
+        return self.add_nodes(label, frame)
+
+    def set_properties(self, label: str, changes: DataFrame, replace: bool = False) -> "PropertyGraph":
+        """Values of ``changes(id, ...)`` win, nulls included; other properties stay, or with ``replace`` become null."""
+        old, new = self.nodes[label].alias("o"), changes.withColumn("_hit", F.lit(True)).alias("n")
+        columns = []
+        for c in dict.fromkeys([*self.nodes[label].columns, *changes.columns]):
+            if c == "id":
+                columns.append(F.col("o.id"))
+            elif c not in changes.columns:
+                columns.append((F.when(F.col("n._hit").isNull(), F.col(f"o.{c}")) if replace else F.col(f"o.{c}")).alias(c))
+            else:
+                before = F.col(f"o.{c}") if c in self.nodes[label].columns else F.lit(None)
+                columns.append(F.when(F.col("n._hit"), F.col(f"n.{c}")).otherwise(before).alias(c))
+        self.nodes[label] = old.join(new, F.col("o.id") == F.col("n.id"), "left").select(*columns)
+        return self
+
+    def remove_property(self, label: str, name: str, where: Column | str = "true") -> "PropertyGraph":
+        hit = F.expr(where) if isinstance(where, str) else where
+        kept = F.when(~F.coalesce(hit, F.lit(False)), F.col(name))
+        self.nodes[label] = self.nodes[label].withColumn(name, kept)
+        return self
+
+    def delete_nodes(self, label: str, gone: DataFrame, detach: bool = False) -> "PropertyGraph":
+        """Without ``gone(id)``. Their edges go with ``detach``; otherwise any edge left to them is an error."""
+        ids = gone.select("id").distinct()
+        for kind, tables in self.edges.items():
+            for e in tables:
+                for end, of in (("src", e.source), ("dst", e.target)):
+                    if of != label:
+                        continue
+                    side = ids.withColumnRenamed("id", end)
+                    if not detach and not e.frame.join(side, end, "left_semi").isEmpty():
+                        raise ValueError(f"{label} nodes still have {kind} edges; detach them too")
+                    e.frame = e.frame.join(side, end, "left_anti").select(*e.frame.columns)
+        self.nodes[label] = self.nodes[label].join(ids, "id", "left_anti")
+        return self
+
+    def delete_edges(self, kind: str, where: Column | str) -> "PropertyGraph":
+        hit = F.expr(where) if isinstance(where, str) else where
+        for e in self.edges[kind]:
+            e.frame = e.frame.where(~F.coalesce(hit, F.lit(False)))
+        return self
+
+    def replace_edges(self, kind: str, source: str, target: str, frame: DataFrame) -> "PropertyGraph":
+        """The sources in ``frame`` lose their edges of the kind to the target label and get those of ``frame``."""
+        for e in self.edge_tables(kind, source, target):
+            e.frame = e.frame.join(frame.select("src").distinct(), "src", "left_anti").select(*e.frame.columns)
+        return self.add_edges(kind, source, target, frame)
+
+    def merge_edges(self, kind: str, source: str, target: str, frame: DataFrame, mode: str = "update") -> "PropertyGraph":
+        """One edge for each pair of ends: new ones are added; of known ones update: new values win where not null, skip: the old
+        stay, replace: the new come whole, sum: numbers add up."""
+        old = self.edge_tables(kind, source, target)
+        known = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [e.frame for e in old]).drop("rid") if old else frame.limit(0)
+        a, b = known.withColumn("_old", F.lit(True)).alias("a"), frame.withColumn("_new", F.lit(True)).alias("b")
+        both = a.join(b, (F.col("a.src") == F.col("b.src")) & (F.col("a.dst") == F.col("b.dst")), "full")
+        types, columns = {**dict(frame.dtypes), **dict(known.dtypes)}, []
+        for c, t in types.items():
+            x = F.col(f"a.{c}") if c in known.columns else F.lit(None).cast(t)
+            y = F.col(f"b.{c}") if c in frame.columns else F.lit(None).cast(t)
+            if mode == "skip":
+                value = F.when(F.col("_old"), x).otherwise(y)
+            elif mode == "replace":
+                value = F.when(F.col("_new"), y).otherwise(x)
+            elif mode == "sum" and t in ("int", "bigint", "double", "float") and c not in ("src", "dst"):
+                value = F.when(x.isNull(), y).when(y.isNull(), x).otherwise(x + y)
+            else:
+                value = F.coalesce(y, x)
+            columns.append((F.coalesce(x, y) if c in ("src", "dst") else value).alias(c))
+        self.edges[kind] = [e for e in self.edges.get(kind, []) if e not in old]
+        return self.add_edges(kind, source, target, both.select(*columns))
+
+    def property_keys(self) -> DataFrame:
+        """``(element, name, property, type, observations)``: how many elements have each property."""
+        frames = [("node", label, f) for label, f in self.nodes.items()]
+        frames += [("edge", k, e.frame.drop("rid")) for k, ts in self.edges.items() for e in ts]
+        parts = []
+        for element, name, f in frames:
+            own = [(c, t) for c, t in f.dtypes if c not in ("id", "src", "dst")]
+            if own:
+                counts = f.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c, _ in own])
+                rows = F.array(*[F.struct(F.lit(c).alias("property"), F.lit(t).alias("type"), F.col(f"`{c}`").alias("observations")) for c, t in own])
+                parts.append(counts.select(F.explode(rows).alias("r")).select(F.lit(element).alias("element"), F.lit(name).alias("name"), "r.*"))
+        return reduce(DataFrame.unionAll, parts).groupBy("element", "name", "property", "type").agg(F.sum("observations").alias("observations"))
+
     def match(self, name: str, label: str, where: Column | str | None = None) -> "Rows":
         return Rows(self, self.named(name, label, where), {name: label}, {})
 
@@ -131,6 +243,28 @@ class Rows:
         """OPTIONAL MATCH: unmatched rows stay, with nulls; ``where`` belongs to the match."""
         return self.hop(start, kinds, name, label, how="left", **options)
 
+    def clause(self) -> "Rows":
+        """Starts another clause: later hops may take relationships that earlier ones took."""
+        return Rows(self.graph, self.frame, self.labels, {})
+
+    def optional_pattern(self, start: str, build) -> "Rows":
+        """An optional pattern of several hops: it matches as a whole or not at all. ``build`` takes the rows of ``start`` alone."""
+        inner = build(Rows(self.graph, self.graph.named(start, self.labels[start]), {start: self.labels[start]}, {}))
+        own = [c for c in self.graph.named(start, self.labels[start]).columns if c != f"{start}_id"]
+        frame = self.frame.join(inner.frame.drop(*own), f"{start}_id", "left")
+        return Rows(self.graph, frame, {**inner.labels, **self.labels}, self.rels)
+
+    def path(self, alias: str, *names: str) -> "Rows":
+        """``<alias>``: the ids along the named elements, as text, and its length in hops."""
+        ids = F.array(*[F.col(f"{n}_id").cast("string") for n in names])
+        frame = self.frame.withColumn(alias, F.struct(ids.alias("nodes"), F.lit(len(names) - 1).alias("length")))
+        return Rows(self.graph, frame, self.labels, self.rels)
+
+    def having_label(self, name: str, label: str) -> "Rows":
+        """Rows whose element is also among the nodes of another label (secondary labels share ids)."""
+        other = self.graph.nodes[label].select(F.col("id").alias(f"{name}_id"))
+        return Rows(self.graph, self.frame.join(other, f"{name}_id", "left_semi"), self.labels, self.rels)
+
     def _ends(self, start: str, kinds, label: str, direction: str, where=None, rel_where=None) -> DataFrame:
         edges = self._hop_frame(kinds, self.labels[start], direction, label, "r")
         edges = edges if rel_where is None else edges.where(rel_where)

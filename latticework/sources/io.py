@@ -40,9 +40,19 @@ def from_records(spark: SparkSession, spec: dict) -> PropertyGraph:
     return g
 
 
+def load_csv(spark: SparkSession, path: str, separator: str = ",", header: bool = True) -> DataFrame:
+    """All columns as text, empty fields null; nothing is guessed, so files are read once."""
+    return spark.read.option("header", header).option("sep", separator).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
 def from_csv_spec(spark: SparkSession, root: str, spec: dict) -> PropertyGraph:
-    """``{"nodes": {label: {"file", "id", "filter"?, "derive"?: {name: sql}, "parents"?: {column: [kind, label]}}}, "junctions": [{"file", "type", "source", "src", "target", "dst"}]}``."""
-    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/{name}")
+    """``{"nodes": {label: {"file", "types"?: {column: type, else text}, "id", "filter"?, "derive"?: {name: sql}, "parents"?: {column: [kind, label]}}}, "junctions": [{"file", "type", "source", "src", "target", "dst"}]}``."""
+    types = {**{s["file"]: s.get("types", {}) for s in spec.get("nodes", {}).values() if "file" in s}, **{j["file"]: j.get("types", {}) for j in spec.get("junctions", [])}}
+
+    def read(name: str) -> DataFrame:
+        frame = load_csv(spark, f"{root}/{name}")
+        return frame.withColumns({c: F.col(c).cast(t) for c, t in types[name].items()}) if types[name] else frame
+
     g = PropertyGraph(spark)
     for label, s in spec.get("nodes", {}).items():
         frame = read(s["file"]) if "file" in s else s["frame"]

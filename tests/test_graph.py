@@ -86,7 +86,7 @@ def test_files(graph, spark, tmp_path):
     t = io.read_triples(spark, f"{tmp_path}/t.nt", ["en"])
     assert t.count() == 3 and t.where("object = 'http://b'").count() == 1
     (tmp_path / "people.csv").write_text("pid,name,boss,age\n1,ann,,40\n2,bob,1,30\n3,cat,1,15\n")
-    g = io.from_csv_spec(spark, str(tmp_path), {"nodes": {"P": {"file": "people.csv", "id": "pid", "filter": "age > 20", "derive": {"up": "upper(name)"}, "parents": {"boss": ["REPORTS_TO", "P"]}}}})
+    g = io.from_csv_spec(spark, str(tmp_path), {"nodes": {"P": {"file": "people.csv", "types": {"pid": "long", "age": "int", "boss": "long"}, "id": "pid", "filter": "age > 20", "derive": {"up": "upper(name)"}, "parents": {"boss": ["REPORTS_TO", "P"]}}}})
     assert pairs(g.nodes["P"], "up") == [("ANN",), ("BOB",)] and pairs(g.all_edges("REPORTS_TO"), "src", "dst") == [(2, 1)]
     r = io.from_records(spark, {"nodes": {"X": [{"id": 1}]}, "edges": [{"type": "T", "source": "X", "target": "X", "rows": [{"src": 1, "dst": 9}]}]})
     assert pairs(r.nodes["X"], "id") == [(1,), (9,)]

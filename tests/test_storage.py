@@ -46,4 +46,4 @@ def test_shuffle_files_go_with_the_query(spark):
 
     before = files()
     back = storage.Scratch(spark).put(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
-    assert files() == before and back.count() == 7
+    assert files() <= before and back.count() == 7
