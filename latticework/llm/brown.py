@@ -81,7 +81,15 @@ class Lexicon:
     def __init__(self, words: list[bytes], counts: np.ndarray, frequent: int, endings: list[bytes]):
         self.words, self.counts, self.frequent, self.endings = words, counts, frequent, endings
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
     def ready(self) -> "Lexicon":
+        """Look-ups, made once: units travel with the words, the index is built by each worker."""
+        if hasattr(self, "unit"):
+            if not hasattr(self, "index"):
+                self.index = {w: k for k, w in enumerate(self.words)}
+            return self
         own = min(self.frequent, len(self.words))
         self.by_ending = {e: own + k for k, e in enumerate(self.endings)}
         self.other = own + len(self.endings)
@@ -220,8 +228,8 @@ def best_classes(contexts: DataFrame, lexicon, member: np.ndarray, seed: np.ndar
 
     def side(m, own, word, n_words, cls, n):
         """What joining each class gains a word, from its neighbours of one side."""
-        old = m[:, cls].T
-        gain = (_xlogx(old + n[:, None]) - _xlogx(old)).astype(np.float32)
+        more = m.T[cls] + n[:, None]
+        gain = (more * np.log(more) - _xlogx(m).T[cls]).astype(np.float32)
         rows, mine = np.arange(len(n)), own[word]
         now = m[mine, cls]
         gain[rows, mine] = _xlogx(now) - _xlogx(np.maximum(now - n, 0))
@@ -290,8 +298,8 @@ def train(docs: DataFrame, scratch: Scratch, frequent: int, endings: int, classe
 
     ends = vocabulary.mapInPandas(by_ending, "ending binary, c long").groupBy("ending").agg(F.sum("c").alias("c"))
     ends = [bytes(r["ending"]) for r in ends.orderBy(F.desc("c"), "ending").limit(endings).collect()]
-    lexicon = sc.broadcast(Lexicon(words, counts, frequent, ends))
     lex = Lexicon(words, counts, frequent, ends).ready()
+    lexicon = sc.broadcast(lex)
 
     pairs = scratch.put(count_bigrams(docs, lexicon)).toArrow()
     bigrams = np.zeros(lex.units * lex.units, np.float32)
