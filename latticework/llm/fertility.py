@@ -2,7 +2,7 @@
 
 Three public vocabularies measure each whole text in one pass: a byte-level one, one of the same kind for many
 languages, and one with byte fallback. Each gives characters per token and the share of tokens that are bytes or
-pieces of a character; the first also gives the entropy of its token ids, relative to that of as many different tokens.
+pieces of a character, the last over the words one by one, each word cut into tokens once; the first also gives the entropy of its token ids, relative to that of as many different tokens.
 
 Rejection bands are fitted for each language (values of the column ``language``) or, where that is null, script: over
 all documents that pass the base rules, a measure may be some times (``WIDTH``) as far from the median as the quartile
@@ -68,6 +68,8 @@ WIDTH, ENTROPY_WIDTH = 12.0, 4.0
 SLACK, SHARE_SLACK, ENTROPY_SLACK = 0.20, 0.10, 0.15
 #: So many fitted groups are sent to all executors; beyond it their bands are joined by shuffle.
 GROUPS = 10_000
+#: Words whose sizes a task keeps.
+CACHE = 400_000
 OUT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, script string, band string, n_tokens long, " + ", ".join(f"{m} double" for m in MEASURES)
@@ -139,15 +141,31 @@ class Measures:
         self.bpe, self.bpe_bytes = tokens.byte_bpe(vocabulary), tokens.token_kinds(vocabulary)
         self.multi, self.multi_bytes = tokens.byte_bpe(multi), tokens.token_kinds(multi)
         self.pieces, self.piece_bytes = tokens.piece_bpe()
+        self.sizes: dict[bytes, int] = {}
+        self.fallbacks: dict[bytes, int] = {}
+
+    def words(self, text) -> tuple[float, float]:
+        """Characters per token and byte share over the words, by the vocabulary with byte fallback; sizes of words are kept."""
+        data = encode(text)
+        words = data.split()
+        if len(self.sizes) > CACHE:
+            self.sizes, self.fallbacks = {}, {}
+        new = list(set(words).difference(self.sizes))
+        for word, ids in zip(new, self.pieces.encode(new, num_threads=1) if new else []):
+            self.sizes[word] = len(ids)
+            self.fallbacks[word] = int(self.piece_bytes[ids].sum())
+        n = sum(map(self.sizes.__getitem__, words))
+        space = len(data) - len(data.translate(None, SPACE))
+        return (len(text) - space) / max(n, 1), sum(map(self.fallbacks.__getitem__, words)) / max(n, 1)
 
     def __call__(self, text) -> tuple:
         """n_tokens, then ``MEASURES``; all 0 without a token."""
         found = [(ids := tokens.ids_of(self.bpe, text), self.bpe_bytes), (tokens.ids_of(self.multi, text), self.multi_bytes)]
         if not len(ids):
             return 0, *[0.0] * len(MEASURES)
-        found.append((np.asarray(self.pieces.encode(encode(text), num_threads=1), np.int64), self.piece_bytes))
-        rates = [len(text) / max(len(i), 1) for i, _ in found]
-        return len(ids), *rates, *[float(is_byte[i].mean()) if len(i) else 0.0 for i, is_byte in found], entropy_of(ids)
+        rate, fallback = self.words(text)
+        rates, shares = [len(text) / max(len(i), 1) for i, _ in found], [float(is_byte[i].mean()) if len(i) else 0.0 for i, is_byte in found]
+        return len(ids), *rates, rate, *shares, fallback, entropy_of(ids)
 
 
 def measured(docs: DataFrame, language: str | None = None, vocabulary: str | None = None) -> DataFrame:

@@ -68,7 +68,7 @@ def test_verdicts(spark):
 def brute_measures(text):
     """Token by token."""
     bpe, multi, (pieces, _) = tokens.byte_bpe(), tokens.byte_bpe(tokens.multi_path()), tokens.piece_bpe()
-    ids = [list(bpe.encode_ordinary(text)), list(multi.encode_ordinary(text)), pieces.encode(text)]
+    ids = [list(bpe.encode_ordinary(text)), list(multi.encode_ordinary(text)), [i for w in WORD.findall(text) for i in pieces.encode(w)]]
 
     def is_piece(encoder, i):
         try:
@@ -79,7 +79,7 @@ def brute_measures(text):
     shares = [sum(is_piece(e, i) for i in x) / len(x) for e, x in ((bpe, ids[0]), (multi, ids[1]))] + [sum(pieces.is_byte(i) for i in ids[2]) / len(ids[2])]
     n = len(ids[0])
     entropy = -sum(c / n * math.log(c / n) for c in Counter(ids[0]).values()) / math.log(min(n, 2000))
-    return n, *[len(text) / len(x) for x in ids], *shares, entropy
+    return n, *[len(text) / len(x) for x in ids[:2]], sum(map(len, WORD.findall(text))) / len(ids[2]), *shares, entropy
 
 
 @pytest.mark.parametrize("text", [text_of(1), "naïve café 日本語 \U00010330\U00010331 x", "aaaa " * 30, "Привет, мир! " * 5, text_of(2, n=3000)])
