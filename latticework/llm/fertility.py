@@ -17,6 +17,8 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -151,9 +153,13 @@ class Measures:
         if len(self.sizes) > CACHE:
             self.sizes, self.fallbacks = {}, {}
         new = list(set(words).difference(self.sizes))
-        for word, ids in zip(new, self.pieces.encode(new, num_threads=1) if new else []):
-            self.sizes[word] = len(ids)
-            self.fallbacks[word] = int(self.piece_bytes[ids].sum())
+        if new:
+            found = self.pieces.encode(new, num_threads=1)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            fallbacks = np.bincount(np.repeat(np.arange(len(new)), sizes), self.piece_bytes[flat], len(new)).astype(np.int64)
+            self.sizes.update(zip(new, sizes.tolist()))
+            self.fallbacks.update(zip(new, fallbacks.tolist()))
         n = sum(map(self.sizes.__getitem__, words))
         space = len(data) - len(data.translate(None, SPACE))
         return (len(text) - space) / max(n, 1), sum(map(self.fallbacks.__getitem__, words)) / max(n, 1)
